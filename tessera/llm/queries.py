@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import curriculum, lpt_sharding, pii
+from tessera.llm import curriculum, language_mixture, lpt_sharding, pii, quality, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder, shards = token_files.write_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return token_files.read_digest(spark, folder, shards)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_sharding.shard_by_lpt(_documents(spark, sf_dir), 16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -29,11 +40,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_documents(spark, sf_dir))
 
 
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.identify(_documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "proportions")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_files": op2_token_files,
+        "op3_quality": op3_quality,
         "op7_lpt_sharding": op7_lpt_sharding,
         "op8_curriculum_mix": op8_curriculum_mix,
         "op9_pii": op9_pii,
+        "op10_language_mixture": op10_language_mixture,
     }
 
 
