@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import curriculum, language_mixture, lpt_sharding, pii, quality, token_files
+from tessera.llm import curriculum, language_mixture, lpt_sharding, ngram_join, pii, quality, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_documents(spark, sf_dir))
+
+
 def op7_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_sharding.shard_by_lpt(_documents(spark, sf_dir), 16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": op2_token_files,
         "op3_quality": op3_quality,
+        "op6_ngram_join": op6_ngram_join,
         "op7_lpt_sharding": op7_lpt_sharding,
         "op8_curriculum_mix": op8_curriculum_mix,
         "op9_pii": op9_pii,
