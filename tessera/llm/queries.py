@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import curriculum, language_mixture, lpt_sharding, ngram_join, pii, quality, token_files
+from tessera.llm import curriculum, decontaminate, graph_dedup, language_mixture, lpt_sharding, ngram_join, pii, quality, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_documents(spark, sf_dir))
 
@@ -50,8 +58,10 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_token_files": op2_token_files,
         "op3_quality": op3_quality,
+        "op4_graph_dedup": op4_graph_dedup,
         "op6_ngram_join": op6_ngram_join,
         "op7_lpt_sharding": op7_lpt_sharding,
         "op8_curriculum_mix": op8_curriculum_mix,
