@@ -3,61 +3,89 @@ likelihoods of its words, and a penalised likelihood selects the set of language
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
-EM_STEPS, REFINE_STEPS = 12, 6
+EM_STEPS, REFINE_STEPS = 8, 4
 #: Languages tried in one document's set, added in the order of their proportions.
 LARGEST_SET = 3
 UNDETERMINED = "und"
-FLUSH_WORDS = 300_000
-CHUNK_WORDS = 200_000
-
-
-def grams(word: str) -> list[int]:
-    """Hashed 1-, 2- and 3-grams of a word between boundary marks; a very long run of letters gives all of its own."""
-    marked = f"^{word}$"
-    n = len(marked)
-    found = [marked[i : i + k] for k in (2, 3) for i in range(n - k + 1)] + list(word)
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found]
-
-
-def has_letter(words: list[str]) -> bool:
-    return any(w.isalpha() for w in words) or any(c.isalpha() for w in words for c in w)
+#: Characters handled together.
+CHUNK = 500_000
+
+
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+class Grams:
+    """Letters of some whole texts, lower-cased and parted by boundaries, with hashed 2- and 3-grams at each letter."""
+
+    def __init__(self, texts: list[str]):
+        raw = [np.frombuffer(f"\n{t.lower()}".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        c = np.concatenate([*raw, np.zeros(1, np.uint32)])
+        alpha = letters()[c]
+        c = np.where(alpha, c, np.uint32(0))
+        self.at = np.flatnonzero(alpha)
+        before, here, after = (c[self.at + k].astype(np.uint64) for k in (-1, 0, 1))
+        two = (before << np.uint64(21) | here) * np.uint64(0x9E3779B97F4A7C15)
+        last = (here << np.uint64(21) | np.uint64(0x1FFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+        three = (two ^ after) * np.uint64(0xC2B2AE3D27D4EB4F)
+        shift = np.uint64(64 - BUCKET_BITS)
+        self.two, self.three = (two >> shift).astype(np.int64), (three >> shift).astype(np.int64)
+        #: The closing boundary's 2-gram, at each word's last letter.
+        self.ends = np.flatnonzero(after == 0)
+        self.closing = (last >> shift).astype(np.int64)[self.ends]
+        #: Each word's first letter among the letters, and how many words each text has.
+        self.starts = np.flatnonzero(before == 0)
+        text = np.repeat(np.arange(len(texts)), [len(r) for r in raw])
+        self.words = np.bincount(text[self.at[self.starts]], minlength=len(texts)) if len(self.at) else np.zeros(len(texts), int)
+
+    def counts(self) -> np.ndarray:
+        return sum(np.bincount(x, minlength=BUCKETS) for x in (self.two, self.three, self.closing))
+
+    def likelihoods(self, log_p: np.ndarray) -> np.ndarray:
+        """(languages, words): each word's likelihood, scaled so that its largest is 1."""
+        out = np.empty((len(log_p), len(self.starts)), np.float32)
+        for k, table in enumerate(log_p):
+            each = table[self.two] + table[self.three]
+            each[self.ends] += table[self.closing]
+            out[k] = np.add.reduceat(each, self.starts)
+        return np.exp(np.maximum(out - out.max(0), -30))
+
+
+def in_chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) of about CHUNK characters together."""
+    first, n = 0, 0
+    for k, t in enumerate(texts):
+        n += len(t)
+        if n >= CHUNK:
+            yield first, texts[first : k + 1]
+            first, n = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over whole texts of rows with a lang: each task counts words by language, then their n-grams."""
+    """lang, gram, n over whole texts of rows with a lang: each task counts n-grams by language in fixed tables."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables: dict[str, np.ndarray] = {}
-        words: dict[str, Counter] = {}
-
-        def settle(lang: str) -> None:
-            table = tables.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for w, n in words.pop(lang).items():
-                for g in grams(w):
-                    table[g] += n
-
         for b in batches:
-            for text, lang in zip(b["text"], b["lang"]):
-                if text:
-                    held = words.setdefault(lang, Counter())
-                    held.update(LETTERS.findall(text.lower()))
-                    if len(held) > FLUSH_WORDS:
-                        settle(lang)
-        for lang in list(words):
-            settle(lang)
+            for lang, part in b.groupby("lang"):
+                table = tables.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for _, texts in in_chunks(part["text"].tolist()):
+                    table += Grams(texts).counts()
         for lang, table in tables.items():
             (at,) = table.nonzero()
             yield pd.DataFrame({"lang": lang, "gram": at.astype(np.int32), "n": table[at]})
@@ -74,65 +102,45 @@ class Model:
         table = np.zeros((BUCKETS, len(self.langs)))
         table[counts["gram"].to_numpy(int), [self.langs.index(x) for x in counts["lang"]]] = counts["n"]
         table += SMOOTHING
-        self.log_p = np.log(table / table.sum(0)).astype(np.float32) if self.langs else table.astype(np.float32)
+        self.log_p = np.ascontiguousarray(np.log(table / table.sum(0)).T, np.float32)
 
 
 def learn(docs: DataFrame) -> Model:
     return Model(gram_counts(docs).toPandas())
 
 
-class Likelihoods(dict):
-    """word -> row of its likelihoods by language, scaled so that the largest is 1."""
-
-    LIMIT = 300_000
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-        self.rows = np.empty((1024, len(model.langs)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        ll = self.model.log_p[grams(word)].sum(0)
-        self.rows[k] = np.exp(np.maximum(ll - ll.max(), -30))
-        self[word] = k
-        return k
-
-
 def em(like: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of each document after so many steps, and its log-likelihood. Languages with proportion 0 stay out."""
+    """(languages, documents) proportions after so many steps, and each document's log-likelihood. Languages with
+    proportion 0 stay out."""
     for _ in range(steps):
-        r = like * np.repeat(pi, sizes, 0)
-        r /= r.sum(1, keepdims=True)
-        pi = np.add.reduceat(r, starts, 0) / sizes[:, None]
-    fit = (like * np.repeat(pi, sizes, 0)).sum(1)
-    return pi, np.add.reduceat(np.log(fit.astype(np.float64)), starts)
+        r = like * np.repeat(pi, sizes, 1)
+        r /= r.sum(0)
+        pi = np.add.reduceat(r, starts, 1) / sizes.astype(np.float32)
+    fit = (like * np.repeat(pi, sizes, 1)).sum(0)
+    return pi, np.add.reduceat(np.log(fit), starts)
 
 
 def infer(like: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Proportions by document in the language set whose log-likelihood less (free parameters / 2) log(words) is largest."""
     starts = np.cumsum(sizes) - sizes
-    n_langs = like.shape[1]
-    pi, _ = em(like, starts, sizes, np.full((len(sizes), n_langs), 1 / n_langs, np.float32), EM_STEPS)
-    order = np.argsort(-pi, 1, kind="stable")
-    rank = np.argsort(order, 1, kind="stable")
+    n_langs = len(like)
+    pi, _ = em(like, starts, sizes, np.full((n_langs, len(sizes)), 1 / n_langs, np.float32), EM_STEPS)
+    rank = np.argsort(np.argsort(-pi, 0, kind="stable"), 0, kind="stable")
     best, best_value = None, np.full(len(sizes), -np.inf)
     for k in range(1, min(LARGEST_SET, n_langs) + 1):
         inside = np.where(rank < k, np.maximum(pi, 1e-6), 0).astype(np.float32)
-        got, value = em(like, starts, sizes, inside / inside.sum(1, keepdims=True), REFINE_STEPS if k > 1 else 0)
+        got, value = em(like, starts, sizes, inside / inside.sum(0), REFINE_STEPS if k > 1 else 0)
         value = value - (k - 1) / 2 * np.log(sizes + 1)
         better = value > best_value
-        best = got if best is None else np.where(better[:, None], got, best)
+        best = got if best is None else np.where(better, got, best)
         best_value = np.where(better, value, best_value)
-    return best
+    return best.T
 
 
 PREDICTED = "doc_id long, lang_pred string, score double, proportions array<double>"
 
 
-def predict(docs: DataFrame, model: Model, carry: str = "") -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, proportions (by language in sorted order) for every whole text.
 
     lang_pred is the language with the largest proportion in the selected set, score that proportion; `und` with score
@@ -141,33 +149,15 @@ def predict(docs: DataFrame, model: Model, carry: str = "") -> DataFrame:
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        likes = Likelihoods(model)
         for b in batches:
-            texts = b["text"].tolist()
-            out: list[tuple] = [(UNDETERMINED, 0.0, None)] * len(texts)
-            held: list[tuple[int, np.ndarray]] = []
-
-            def settle() -> None:
-                if held:
-                    sizes = np.array([len(x) for _, x in held])
-                    pi = infer(likes.rows[np.concatenate([x for _, x in held])], sizes)
-                    for (k, _), p in zip(held, pi):
+            out: list[tuple] = [(UNDETERMINED, 0.0, None)] * len(b)
+            for first, texts in in_chunks([t or "" for t in b["text"]] if model.langs else []):
+                grams = Grams(texts)
+                (full,) = grams.words.nonzero()
+                if len(full):
+                    for k, p in zip(full, infer(grams.likelihoods(model.log_p), grams.words[full])):
                         at = int(p.argmax())
-                        out[k] = (model.langs[at], float(min(1.0, p[at])), p.astype(float).tolist())
-                    held.clear()
-                if len(likes) > likes.LIMIT:
-                    likes.clear()
-
-            waiting = 0
-            for k, text in enumerate(texts if model.langs else []):
-                words = LETTERS.findall(text.lower()) if text else []
-                if words and has_letter(words):
-                    held.append((k, np.fromiter(map(likes.__getitem__, words), np.int64, len(words))))
-                    waiting += len(words)
-                    if waiting >= CHUNK_WORDS:
-                        settle()
-                        waiting = 0
-            settle()
+                        out[first + k] = (model.langs[at], float(min(1.0, p[at])), p.astype(float).tolist())
             yield pd.DataFrame(
                 {"doc_id": b["doc_id"].astype("Int64"), "lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "proportions": [x[2] for x in out]}
             )
