@@ -26,7 +26,7 @@ MOST_LABELLED = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 40, 3e-3, 1e-4
 CHUNK_TOKENS = 100_000
 SCALARS = 5
-FEATURES = 2 * DIMS + SCALARS
+FEATURES = DIMS + SCALARS
 
 
 class Slots(dict):
@@ -123,7 +123,7 @@ def word_vectors(table: np.ndarray) -> np.ndarray:
 
 
 def pool(vectors: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-    """A row a document: mean and spread of its word vectors, then log length, distinct share, share of tokens equal to
+    """A row a document: the mean of its word vectors, then log length, distinct share, share of tokens equal to
     their predecessor, share of the commonest token and the mean vector's length. A document without tokens has zeros."""
     out = np.zeros((len(docs), FEATURES), np.float32)
     sizes = np.array([len(d) for d in docs])
@@ -132,16 +132,13 @@ def pool(vectors: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
         return out
     ids, n = np.concatenate([docs[k] for k in full]), sizes[full]
     starts = np.cumsum(n) - n
-    rows = vectors[ids]
-    mean = np.add.reduceat(rows, starts, 0) / n[:, None]
-    square = np.add.reduceat(rows * rows, starts, 0) / n[:, None]
+    mean = np.add.reduceat(vectors[ids], starts, 0) / n[:, None]
     out[full, :DIMS] = mean
-    out[full, DIMS : 2 * DIMS] = np.sqrt(np.maximum(0, square - mean * mean))
     for k, c in zip(full, n):
         d = docs[k]
         counts = np.bincount(d)
         counts = counts[counts > 0]
-        out[k, 2 * DIMS :] = np.log1p(c), len(counts) / c, (d[1:] == d[:-1]).mean() if c > 1 else 0, counts.max() / c, 0
+        out[k, DIMS:] = np.log1p(c), len(counts) / c, (d[1:] == d[:-1]).mean() if c > 1 else 0, counts.max() / c, 0
     out[full, -1] = np.linalg.norm(mean, axis=1)
     return out
 
