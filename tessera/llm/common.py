@@ -40,6 +40,15 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids and hashes of up to so many rows are broadcast (some 20 bytes a row); beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows, counted, are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_key(text: str = "text"):
     """16-byte identity of a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))

@@ -10,12 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, small_side
 
 WIDTH, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
-#: A benchmark of up to so many windows, and up to so many hits, are broadcast (some 20 bytes a row); beyond, joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
 UNITS = (
     "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ft|in|inch|inches|feet|mile|miles|yard|yards|meter|meters|metre|metres|kilometers|liter|liters|litre|litres|ml|l"
     "|second|seconds|sec|minute|minutes|min|hour|hours|hr|hrs|day|days|week|weeks|month|months|year|years"
@@ -51,11 +48,6 @@ def windows(tokens: Column, keep_sparse: bool) -> Column:
     return F.filter(found, literal)
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its rows, counted, are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, windows, coverage, slots, consistency, kind: a row for each document and item it holds.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, WordIds, mix, shingles, word_hashes
+from tessera.llm.common import Scratch, WordIds, mix, shingles, small_side, word_hashes
 from tessera.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -156,7 +156,7 @@ def in_blocks(members: DataFrame, key: str, row: str, held: DataFrame, block: in
     n = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64(row), F.col("n")).cast("int")
     return (
-        members.join(held, key)
+        members.join(held.hint("merge"), key)
         .withColumn("n", n)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -306,16 +306,15 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             "set_key", F.col("first.doc_id").alias("rep"), F.col("first.values").alias("values"), F.col("first.bands").alias("bands"), "copies"
         ),
     )
-    placed = classes.select("rep", "values", F.explode("bands").alias("band"))
+    placed = classes.select("rep", F.explode("bands").alias("band"))
     held = placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    dealt = in_blocks(placed, "band", "rep", held, BUCKET_BLOCK)
+    dealt = in_blocks(placed, "band", "rep", held, BUCKET_BLOCK).join(classes.select("rep", "values").hint("merge"), "rep")
     likely = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInPandas(likely_links, "a long, b long")
     groups = scratch.save("groups", components(likely, scratch, "likely"))
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     members = in_blocks(groups.withColumnRenamed("node", "rep"), "component", "rep", sizes, GROUP_BLOCK)
     with_text = (
-        groups.select(F.col("node").alias("doc_id"))
-        .join(docs, "doc_id")
+        docs.join(small_side(groups.select(F.col("node").alias("doc_id"))), "doc_id")
         .select(F.col("doc_id").alias("rep"), "text")
         .join(classes.select("rep", "copies", "set_key"), "rep")
     )
@@ -339,8 +338,14 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without all but one document of each class: the one with the class's id. Rows without a doc_id stay; of
-    repeated rows with the kept doc_id one stays."""
-    found = ngram_join(docs, threshold)
-    kept = found.where("doc_id = class_id").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    repeated rows with the kept doc_id one stays. Texts are moved only where a doc_id repeats or too many go."""
+    scratch = Scratch(docs.sparkSession, "kept")
+    found = scratch.save("found", ngram_join(docs, threshold).select("doc_id", "class_id").where("doc_id is not null"))
+    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
+    stay = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    repeated = scratch.save("repeated", found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return stay
+    some = small_side(repeated)
+    once = stay.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return stay.join(some, "doc_id", "left_anti").select(docs.columns).unionByName(once)
