@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import curriculum, decontaminate, graph_dedup, language_mixture, lpt_sharding, ngram_join, pii, quality, token_files
+from tessera.llm import curriculum, decontaminate, graph_dedup, language_mixture, lpt_sharding, ngram_join, pii, quality, suffix_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files,
         "op3_quality": op3_quality,
         "op4_graph_dedup": op4_graph_dedup,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_ngram_join": op6_ngram_join,
         "op7_lpt_sharding": op7_lpt_sharding,
         "op8_curriculum_mix": op8_curriculum_mix,
