@@ -54,8 +54,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levels.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, passes (array of epoch, take, position) and the columns in `carry`.
+def mix_sources(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, passes (array of epoch, take, position), and with carry `row`, a struct
+    of all columns of docs.
 
     Documents of a source stand in the order of md5(doc_id); the mix takes the first `target` words of that order
     repeated, so `take` is the document's size but where the target ends inside it, and no document is taken more than
@@ -64,7 +65,10 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "mix")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = scratch.save("rows", docs.select("doc_id", "source", size.alias("size"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("order"), *carry))
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    rows = scratch.save("rows", docs.select("doc_id", "source", size.alias("size"), order.alias("order"), *row))
+    row = ["row"] if carry else []
     digits = max(1, min(8, math.ceil(math.log(max(1, rows.count() / ROWS_PER_BLOCK), 16))))
     rows = rows.withColumn("order", F.coalesce("order", F.lit(""))).withColumn("block", F.substring("order", 1, digits))
     source = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
@@ -89,17 +93,19 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         )
 
     passes = F.filter(F.array(*[one(k) for k in range(MOST_REPEATS)]), lambda p: p["take"] > 0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", passes.alias("passes"), *carry)
+    return placed.select("doc_id", "source", "size", "source_size", "target", passes.alias("passes"), *row)
 
 
 def taken(passes: Column) -> Column:
     return F.aggregate(passes, F.lit(0).cast("long"), lambda a, p: a + p["take"])
 
 
-def in_training_order(mixed: DataFrame, columns: list[str], partitions: int) -> DataFrame:
-    """A row for each time a document is taken whole or for its larger part, range-sorted by position."""
-    each = mixed.select(*columns, "size", F.explode("passes").alias("pass")).where(F.col("pass.take") * 2 >= F.col("size"))
-    return each.repartitionByRange(partitions, "pass.position", "doc_id").sortWithinPartitions("pass.position", "doc_id").select(*columns)
+def in_training_order(docs: DataFrame, partitions: int) -> DataFrame:
+    """The rows of docs, once for each time that the mix takes a document whole or for its larger part, range-sorted by
+    position."""
+    each = mix_sources(docs, carry=True).select("row", "doc_id", "size", F.explode("passes").alias("pass")).where(F.col("pass.take") * 2 >= F.col("size"))
+    placed = each.select("row", "doc_id", F.col("pass.position").alias("position"))
+    return placed.repartitionByRange(partitions, "position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")
 
 
 #: DuckDB's form of the digest of mix_sources: targets by water filling, takes by cumulative words.

@@ -137,6 +137,17 @@ def infer(like: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return best.T
 
 
+def label_texts(texts: list[str], model: Model) -> Iterator[tuple[int, tuple[str, float, list[float]]]]:
+    """(place, (language, its proportion, all proportions)) of each text that has letters."""
+    for first, part in in_chunks(texts if model.langs else []):
+        grams = Grams(part)
+        (full,) = grams.words.nonzero()
+        if len(full):
+            for k, p in zip(full, infer(grams.likelihoods(model.log_p), grams.words[full])):
+                at = int(p.argmax())
+                yield first + k, (model.langs[at], float(min(1.0, p[at])), p.astype(float).tolist())
+
+
 PREDICTED = "doc_id long, lang_pred string, score double, proportions array<double>"
 
 
@@ -151,13 +162,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[tuple] = [(UNDETERMINED, 0.0, None)] * len(b)
-            for first, texts in in_chunks([t or "" for t in b["text"]] if model.langs else []):
-                grams = Grams(texts)
-                (full,) = grams.words.nonzero()
-                if len(full):
-                    for k, p in zip(full, infer(grams.likelihoods(model.log_p), grams.words[full])):
-                        at = int(p.argmax())
-                        out[first + k] = (model.langs[at], float(min(1.0, p[at])), p.astype(float).tolist())
+            for at, found in label_texts([t or "" for t in b["text"]], model):
+                out[at] = found
             yield pd.DataFrame(
                 {"doc_id": b["doc_id"].astype("Int64"), "lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "proportions": [x[2] for x in out]}
             )
@@ -175,3 +181,20 @@ def identify(docs: DataFrame) -> DataFrame:
     fold: such rows are not learned from and not held out."""
     model = learn(docs.where(fold(4) != 2))
     return predict(docs, model).withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """docs without those whose language can't be told; all columns pass through, texts unmoved."""
+    import pyarrow as pa
+
+    model = learn(docs.where(fold(4) != 2))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            known = np.zeros(len(texts), bool)
+            for at, found in label_texts(texts, model):
+                known[at] = found[0] != UNDETERMINED
+            yield b.filter(pa.array(known))
+
+    return docs.mapInArrow(pick, docs.schema)
