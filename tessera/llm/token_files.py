@@ -7,6 +7,7 @@ dictionary is a file of its own, named by its hash. Ids are little-endian unsign
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import re
@@ -14,6 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,10 +29,10 @@ from tessera.llm.common import shared_dir
 MAGIC = b"TSRTOK01"
 FOOTER = struct.Struct("<QQQQI4s")
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("tokens", "<u8")])
-#: The dictionary is trained on the first PIECE ids of at most SAMPLE documents, those whose hashed doc_ids are smallest;
-#: it serves compression alone, never what is stored.
+#: The dictionary is trained on the first PIECE ids of the SAMPLE documents with the smallest doc_ids; it serves
+#: compression alone, never what is stored. So does the number of shards, from their mean length.
 SAMPLE, PIECE, DICT_BYTES, LEVEL = 2000, 2048, 65536, 3
-SHARD_BYTES, MOST_SHARDS = 32 << 20, 20_000
+SHARD_CHARS, MOST_SHARDS = 32 << 20, 20_000
 SPECIAL = "<|endoftext|>"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -39,56 +41,143 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
+#: Signs that may end a chunk; the pattern breaks between a letter and such a sign.
+SIGNS = ".,;:!?|$*&%#@()[]{}<>=+-_/~^\"'`"
+
+
 class Chunks(dict):
-    """chunk -> its ids' bytes. None marks a chunk that white space touches, whose ids depend on its neighbours."""
+    """chunk -> its ids' bytes, with `lead` in front of it. None marks a chunk that white space touches, whose ids depend
+    on its neighbours.
+
+    Of two generations the younger takes what is new or met again; when it is full, the elder is dropped, so chunks in
+    use stay and memory is bounded."""
 
-    LIMIT, LONGEST = 300_000, 64
+    LONGEST, TOGETHER = 64, 2000
 
-    def __init__(self, tokenizer, lead: str):
+    def __init__(self, tokenizer, lead: str, between: str, starts: np.ndarray, limit: int):
+        """limit: chunks in a generation; between: what parts words that are encoded together; starts: the ids at which, with it, a word starts."""
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
+        self.limit = limit
+        self.tokenizer, self.lead, self.between, self.starts, self.elder, self.tails = tokenizer, lead, between, starts, {}, {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes | None:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
-        ids = np.array(self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.elder.get(chunk) or self.encode(self.lead + chunk)
         if len(chunk) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
             self[chunk] = ids
         return ids
 
+    def tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            if len(self.tails) >= self.limit:
+                self.tails.clear()
+            self.tails[signs] = self.encode(signs)
+        return self.tails[signs]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Encode what is new among chunks: words of letters together, words that end in signs from both parts."""
+        if len(self) >= self.limit:
+            self.elder = dict(self)
+            self.clear()
+        new, elder = chunks.difference(self), self.elder
+        words, signed = set(), []
+        for c in new:
+            if c in elder:
+                self[c] = elder[c]
+            elif len(c) > self.LONGEST:
+                continue
+            elif c.isalpha():
+                words.add(c)
+            else:
+                stem = c.rstrip(SIGNS)
+                if stem.isalpha():
+                    signed.append((c, stem))
+                    if stem in elder:
+                        self[stem] = elder[stem]
+                    elif stem not in self:
+                        words.add(stem)
+        listed = list(words)
+        for k in range(0, len(listed), self.TOGETHER):
+            part = listed[k : k + self.TOGETHER]
+            (e,) = self.tokenizer.encode_batch_fast([self.lead + self.between.join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            heads = np.flatnonzero(self.starts[ids])
+            skip = 0 if self.lead else 1  # without a lead, what starts a word is the sign between words
+            cuts = [0, *((heads if self.lead else heads + 1) * 4).tolist()] if skip else (heads * 4).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                self.update({w: raw[a:b] for w, a, b in zip(part, cuts, [x - 4 * skip for x in cuts[1:]] + [len(raw)])})
+        for c, stem in signed:
+            self[c] = self[stem] + self.tail(c[len(stem) :])
+
 
 class Encoder:
     """Ids of whole texts. The vocabulary's pattern always breaks in front of a single space between other characters,
-    so the chunks between such spaces are encoded by themselves and remembered."""
+    and around a single line feed between them, so the chunks between such breaks are encoded by themselves and remembered."""
 
     def __init__(self, tokenizer_path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.first, self.rest = Chunks(self.tokenizer, ""), Chunks(self.tokenizer, " ")
-        self.end = struct.pack("<I", end_id)
+        vocabulary = self.tokenizer.get_vocab()
+        spaced, feeds = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
+        spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the vocabulary's mark of a space
+        feeds[vocabulary["\u010a"]] = True  # and its line feed
+        self.first, self.rest = Chunks(self.tokenizer, "", "\n", feeds, 60_000), Chunks(self.tokenizer, " ", " ", spaced, 350_000)
+        self.end, self.feed = struct.pack("<I", end_id), struct.pack("<I", vocabulary["\u010a"])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str | None) -> bytes:
+    def slowly(self, text: str) -> bytes:
+        """Ids of a text in which white space meets white space."""
+        head, *parts = LONE_SPACE.split(text)
+        out = [self.whole(head)]
+        for p in parts:
+            ids = self.rest[p]
+            out.append(self.whole(" " + p) if ids is None else ids)
+        return b"".join(out)
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids with the end id; a null text counts as empty."""
-        if not text:
-            return self.end
-        if SPECIAL in text:
-            return self.whole(text) + self.end
-        head, *parts = text.split(" ")
+        gc.disable()  # many lists of strings and no cycles
         try:
-            return b"".join((self.first[head], *map(self.rest.__getitem__, parts), self.end))
-        except TypeError:
-            head, *parts = LONE_SPACE.split(text)
-            out = [self.whole(head)]
-            for p in parts:
-                ids = self.rest[p]
-                out.append(self.whole(" " + p) if ids is None else ids)
-            return b"".join((*out, self.end))
+            return self._ids(texts)
+        finally:
+            gc.enable()
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
+        lines = [[line.split(" ") for line in t.split("\n")] if t and SPECIAL not in t else None for t in texts]
+        firsts, rests = set(), set()
+        for held in lines:
+            for chunks in held or ():
+                firsts.add(chunks[0])
+                rests.update(chunks[1:])
+        self.first.learn(firsts)
+        self.rest.learn(rests)
+        first, rest, out = self.first.__getitem__, self.rest.__getitem__, []
+        for t, held in zip(texts, lines):
+            if not t:
+                out.append(self.end)
+            elif held is None:
+                out.append(self.whole(t) + self.end)
+            else:
+                try:
+                    made = self.feed.join([b"".join((first(c[0]), *map(rest, c[1:]))) for c in held])
+                except TypeError:
+                    made = self.slowly(t)
+                out.append(made + self.end)
+        return out
+
+
+@lru_cache(1)
+def encoder_of(tokenizer_path: str, end_id: int) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(tokenizer_path, end_id)
 
 
 def train_dictionary(pieces: list[bytes]) -> bytes:
@@ -164,7 +253,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
 
     Returns the folder and, for each shard, (shard, documents, tokens). Null texts count as empty; null doc_ids come
     first; rows with equal doc_ids stand next to each other in the order of their frames; columns other than doc_id and
-    text are ignored; an empty table gives no shards. Shards hold ranges of doc_id of about 32 MB of text each (20,000
+    text are ignored; an empty table gives no shards. Shards hold ranges of doc_id of about 32 million characters each (20,000
     shards at most, then larger ones), each streamed to its file, so memory holds a batch and the shard's index.
     """
     spark = docs.sparkSession
@@ -172,30 +261,33 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, min(MOST_SHARDS, math.ceil(n_bytes / SHARD_BYTES)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 100_000)).first()[0] or []
-    bounds = np.array(cuts if shards > 1 else [], np.int64)
+    ids = docs.select("doc_id")
+    least = [r.doc_id for r in ids.where("doc_id is not null").orderBy("doc_id").limit(SAMPLE).collect()]
+    first = docs.where(F.col("doc_id") <= (least[-1] if least else 0)).select("text").limit(2 * SAMPLE)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id)
         for b in batches:
-            yield pd.DataFrame({"piece": [encoder.ids(t)[: 4 * PIECE] for t in b["text"]]})
+            texts = b["text"].tolist()
+            yield pd.DataFrame({"piece": [x[: 4 * PIECE] for x in encoder.ids(texts)], "size": [len(t or "") for t in texts]})
 
-    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").limit(2 * SAMPLE).mapInPandas(pieces, "piece binary")
-    dictionary = train_dictionary(sorted(bytes(r.piece) for r in sample.collect()))
+    sample = first.mapInPandas(pieces, "piece binary, size long").collect()
+    mean = sum(r["size"] for r in sample) / len(sample) if sample else 0
+    shards = max(1, min(MOST_SHARDS, math.ceil(mean * ids.count() / SHARD_CHARS)))
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 100_000)).first()[0] or []
+    bounds = np.array(cuts if shards > 1 else [], np.int64)
+    dictionary = train_dictionary(sorted(bytes(r.piece) for r in sample))
     digest = hashlib.sha256(dictionary).digest()
     with fs.open_output_stream(f"{path}/{digest.hex()}.dict") as out:
         out.write(dictionary)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         for b in batches:
             for k in range(0, len(b), 1000):
                 part = b.iloc[k : k + 1000]
-                raw = [encoder.ids(t) for t in part["text"]]
+                raw = encoder.ids(part["text"].tolist())
                 ids = part["doc_id"].astype("Int64")
                 shard = np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right"))
                 yield pd.DataFrame({"shard": shard.astype(np.int32), "doc_id": ids, "tokens": [len(r) // 4 for r in raw], "frame": [pack.compress(r) for r in raw]})
