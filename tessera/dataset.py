@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.catalog import Catalog
 from tessera.session import GraphSession
 
 NODES = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Orders": ("orders", "o_orderkey")}
@@ -35,7 +36,25 @@ def copurchased(t) -> DataFrame:
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> GraphSession:
-    """Every node and relationship table, lazily: a query reads the files of those it names."""
+    """Every node and relationship table, lazily: a query reads the files of those it names. The tables' plans are made
+    once a folder and application; each caller gets a session of its own over them."""
+    g = GraphSession(spark)
+    g.catalog = _catalog(spark.sparkContext.applicationId, sf_dir, spark)
+    return g
+
+
+_made: dict[tuple[str, str], Catalog] = {}
+
+
+def _catalog(application: str, sf_dir: str, spark: SparkSession) -> Catalog:
+    if (application, sf_dir) not in _made:
+        for old in [k for k in _made if k[0] != application]:
+            del _made[old]
+        _made[application, sf_dir] = _registered(spark, sf_dir).catalog
+    return _made[application, sf_dir]
+
+
+def _registered(spark: SparkSession, sf_dir: str) -> GraphSession:
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     g = GraphSession(spark)
     for label, (table, key) in NODES.items():
