@@ -74,6 +74,9 @@ _add("fn_convert", "MATCH (p:Part) RETURN p.p_partkey AS k, toInteger(p.p_retail
 _add("fn_dates", "MATCH (o:Orders) WHERE o.o_orderdate >= datetime('1996-01-01T00:00:00') RETURN o.o_orderkey AS k, timestamp(o.o_orderdate) AS t, date('2024-02-29') AS d", "select o_orderkey k, epoch(o_orderdate)::bigint t, date '2024-02-29' d from orders where o_orderdate >= timestamp '1996-01-01'")
 _add("arith", "MATCH (p:Part) RETURN p.p_partkey AS k, p.p_size + 1 AS a, p.p_size - 1.5 AS b, p.p_size * 2 AS c, (p.p_size - 30) / 4 AS d, (p.p_size - 30) % 4 AS m, -p.p_size AS n, p.p_size / 2.0 AS h", "select p_partkey k, p_size::bigint + 1 a, p_size - 1.5::double b, p_size::bigint * 2 c, ((p_size - 30) // 4 + case when (p_size - 30) % 4 <> 0 and false then 1 else 0 end)::bigint d, ((p_size - 30) % 4)::bigint m, -p_size::bigint n, p_size / 2.0::double h from part")
 
+_add("fn_rand_now", "RETURN rand() >= 0.0 AND rand() < 1.0 AS r, date() IS NOT NULL AS d, datetime() IS NOT NULL AS t, timestamp() > 1000000000 AS s", "select true r, true d, true t, true s")
+_add("equality_across_types", "UNWIND [1.0, 1.5] AS x RETURN x, x = 1 AS e, x < 2 AS l, [1, 2] = [1, 2] AS a, 'a' = 1 AS n", "select x, x = 1 e, true l, true a, false n from (values (1.0::double), (1.5::double)) t(x)")
+
 # aggregation
 _add("agg_count", "MATCH (e:Event) RETURN e.event_type AS t, count(*) AS n, count(e.value) AS v, count(DISTINCT e.value) AS d", "select event_type t, count(*) n, count(value) v, count(distinct value) d from events group by 1")
 _add("agg_sum_avg", "MATCH (p:Part) RETURN p.p_brand AS b, sum(p.p_size) AS s, round(avg(p.p_size) * 1000000) AS a, min(p.p_size) AS lo, max(p.p_name) AS hi", "select p_brand b, sum(p_size)::bigint s, round(avg(p_size) * 1000000) a, min(p_size)::bigint lo, max(p_name) hi from part group by 1")
@@ -159,6 +162,12 @@ select n_nationkey::bigint node_id, round(coalesce((select sum(x.k::double * y.k
   where x.n = n_nationkey and x.s <> n_nationkey and y.n <> n_nationkey and x.s <> y.n), 0) / 2, 5) score from nation"""
 
 
+_NATIONS = (
+    "COPY (MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS name, n.n_regionkey AS r) TO '{path}' (HEADER, DELIMITER ';')",
+    "CREATE NODE TABLE N(k INT64, name STRING, r INT64, PRIMARY KEY(k)); COPY N FROM '{path}' (HEADER, DELIMITER ';')",
+    "MATCH (n:N) RETURN n.k AS k, n.name AS name, n.r AS r",
+)
+
 #: name -> (function of the session and folder, SQL)
 OTHERS: dict[str, tuple[Callable[[GraphSession, str], DataFrame], str | None]] = {
     "algo_pagerank": (lambda g, d: g.call("pagerank", "TRADES").select("node_id", F.round("score", 5).alias("score")), _pagerank_sql()),
@@ -176,7 +185,12 @@ OTHERS: dict[str, tuple[Callable[[GraphSession, str], DataFrame], str | None]] =
         f"with recursive {TRADES_SQL}, r(n, c, path) as (select 0::bigint, 0.0::double, [0::bigint] union all select d, r.c + w, list_append(r.path, d) from r join trades on s = r.n where not list_contains(r.path, d) and len(r.path) < 12) select n_nationkey::bigint target, (select round(min(c), 2) from r where n = n_nationkey) as cost from nation where n_nationkey in (1, 2, 3, 10)",
     ),
     "algo_lpa": (lambda g, d: g.call("label_propagation", "COPURCHASED"), None),
-    "dbms_tables": (lambda g, d: g.call("dbms.tables"), None),
+    "dbms_tables": (
+        lambda g, d: g.cypher("CALL dbms.tables() YIELD type, name"),
+        "select unnest(['Region', 'Nation', 'Customer', 'Supplier', 'Part', 'Orders', 'Users', 'Event', 'Turn']) as name, 'NODE' as type union all"
+        " select unnest(['IN_REGION', 'CUST_NATION', 'SUPP_NATION', 'PLACED', 'CONTAINS', 'SUPPLIED_BY', 'DID', 'TRADES', 'COPURCHASED', 'NEXT_TURN']), 'REL'",
+    ),
+    "csv_table_export": (lambda g, d: _csv(g, "COPY Region TO '{path}'", "CREATE NODE TABLE N(k INT64, name STRING, PRIMARY KEY(k)); COPY N FROM '{path}'", "MATCH (n:N) RETURN n.k AS k, n.name AS name"), "select r_regionkey::bigint k, r_name as name from region"),
     "dml_create": (lambda g, d: _written(g, "CREATE (a:P {id: 7, name: 'x'}), (b:P {id: 8})"), "select 7::bigint id, 'x' as name, null::double age union all select 8, null, null union all select 1, 'Ann', 30.0 union all select 2, 'Bob', null"),
     "dml_set": (lambda g, d: _written(g, "MATCH (p:P) WHERE p.id = 2 SET p.age = p.id * 10, p.name = 'Rob'"), "select 1::bigint id, 'Ann' as name, 30.0::double age union all select 2, 'Rob', 20.0"),
     "dml_delete": (lambda g, d: _written(g, "MATCH (p:P) WHERE p.name = 'Bob' DETACH DELETE p"), "select 1::bigint id, 'Ann' as name, 30.0::double age"),
@@ -184,7 +198,7 @@ OTHERS: dict[str, tuple[Callable[[GraphSession, str], DataFrame], str | None]] =
     "dml_create_rel": (lambda g, d: _written(g, "MATCH (a:P), (b:P) WHERE a.id < b.id CREATE (a)-[:K {w: a.id + 0.5}]->(b)", "MATCH (a:P)-[k:K]->(b:P) RETURN a.id AS a, k.w AS w, b.id AS b"), "select 1::bigint a, 1.5::double w, 2::bigint b"),
     "dml_serial": (lambda g, d: _written(g, "CREATE NODE TABLE S(id SERIAL, v STRING, PRIMARY KEY(id)); CREATE (a:S {v: 'a'}); CREATE (a:S {v: 'b'})", "MATCH (s:S) RETURN s.id AS id, s.v AS v"), "select 0::bigint id, 'a' v union all select 1, 'b'"),
     "ddl_alter": (lambda g, d: _written(g, "ALTER TABLE P ADD COLUMN z INT64; ALTER TABLE P RENAME COLUMN name TO label; ALTER TABLE P DROP age; ALTER TABLE P RENAME TO Q", "MATCH (q:Q) RETURN q.id AS id, q.label AS label, q.z AS z"), "select 1::bigint id, 'Ann' as label, null::bigint z union all select 2, 'Bob', null"),
-    "csv_round_trip": (lambda g, d: _csv(g), "select n_nationkey::bigint k, n_name as name, n_regionkey::bigint r from nation"),
+    "csv_round_trip": (lambda g, d: _csv(g, *_NATIONS), "select n_nationkey::bigint k, n_name as name, n_regionkey::bigint r from nation"),
     "prepared_param": (lambda g, d: g.prepare("MATCH (n:Nation) WHERE n.n_regionkey = $r RETURN n.n_name AS name").execute({"r": 3}), "select n_name as name from nation where n_regionkey = 3"),
     "script": (lambda g, d: g.execute_script("MATCH (r:Region) RETURN count(*) AS n; MATCH (n:Nation) RETURN count(*) AS n;"), "select count(*) n from nation"),
     "register_function": (lambda g, d: _with_function(g), "select n_name as name, n_regionkey::bigint + 100 x from nation"),
@@ -213,14 +227,14 @@ def _written(g: GraphSession, script: str, read: str = "MATCH (p:P) RETURN p.id
     return fresh.cypher(read)
 
 
-def _csv(g: GraphSession) -> DataFrame:
-    """Nations written to a file in the shared folder and read into a new table."""
+def _csv(g: GraphSession, out: str, into: str, read: str) -> DataFrame:
+    """Rows written to a file in the shared folder, read into a new table and from there."""
     base = g.spark.conf.get("spark.checkpoint.dir", None) or g.spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/nations-{os.urandom(6).hex()}.csv"
-    g.cypher(f"COPY (MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS name, n.n_regionkey AS r) TO '{path}' (HEADER, DELIMITER ';')")
+    path = f"{base.rstrip('/')}/{os.urandom(8).hex()}.csv"
+    g.cypher(out.format(path=path))
     back = GraphSession(g.spark)
-    back.execute_script(f"CREATE NODE TABLE N(k INT64, name STRING, r INT64, PRIMARY KEY(k)); COPY N FROM '{path}' (HEADER, DELIMITER ';')")
-    return back.cypher("MATCH (n:N) RETURN n.k AS k, n.name AS name, n.r AS r")
+    back.execute_script(into.format(path=path))
+    return back.cypher(read)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
