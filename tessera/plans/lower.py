@@ -20,8 +20,6 @@ from tessera.plans.expr import Compiler, constant
 from tessera.plans.scope import LABEL, Binding, Frame, col, conjuncts, default_name, pattern_variables, rebuild, variables, walk
 from tessera.types import is_null
 
-ENDED = Frame  # a query's result is a frame of scalars
-
 
 class Lowering:
     """Lowers the clauses of one statement; catalog is the version that it reads."""
@@ -241,16 +239,17 @@ class Lowering:
             first = p.nodes[start].var
             if first in bound:
                 frame = self._of_table(frame, first, given[first])
-            elif frame is None and first in ids_only and p.rels:
-                edges = self._edges(self.catalog.rel(given[i, 0]), p.rels[0], given[first], given[p.nodes[1].var])
-                ids = edges.select(F.col("#from").alias(first)).distinct()
-                frame = Frame(ids, {first: Binding("node", (given[first],))})
+            elif frame is None and first in ids_only and p.rels and (p.rels[0].least, p.rels[0].most) == (1, 1):
+                frame = self._first_hop(p, given, self.catalog.rel(given[i, 0]), ids_only)  # no scan of what is joined by id
+                start = 1
             else:
                 frame = self._scanned(frame, first, given[first], ids_only)
             frame, where = self._ready(frame, where)
             for k in range(start, len(p.rels)):
                 frame = self._expanded(frame, p.nodes[k].var, p.rels[k], p.nodes[k + 1].var, given, self.catalog.rel(given[i, k]), ids_only)
                 frame, where = self._ready(frame, where)
+            if p.nodes[start].var not in bound:
+                continue
             flipped = {">": "<", "<": ">", "-": "-"}
             for k in range(start - 1, -1, -1):
                 back = replace(p.rels[k], direction=flipped[p.rels[k].direction])
@@ -303,15 +302,31 @@ class Lowering:
             frame = self._of_table(frame, left, given[left])
             seeds = frame.df.select(col(left).alias("#seed")).where("`#seed` is not null").distinct()
             edges = traverse.reach(edges, seeds, r.least, r.most).select(F.col("#seed").alias("#from"), F.col("#node").alias("#to"))
-        if r.var:
-            if r.var in scope:
-                raise BindError(f"'{r.var}' is already bound")
-            scope[r.var] = Binding("rel", (rel.name,))
-        df = frame.df.join(edges, col(left) == F.col("#from"))
+        scope = self._with_rel(scope, r, rel)
+        return self._arrived(Frame(frame.df.join(edges, col(left) == F.col("#from")), scope), right, given, ids_only)
+
+    def _first_hop(self, p: A.PathPat, given: dict, rel: RelTable, ids_only: frozenset) -> Frame:
+        """A pattern that starts with its first relationship, whose source is known by its id alone."""
+        left, r, right = p.nodes[0].var, p.rels[0], p.nodes[1].var
+        edges = self._edges(rel, r, given[left], given[right]).withColumn(left, F.col("#from"))
+        scope = self._with_rel({left: Binding("node", (given[left],))}, r, rel)
+        return self._arrived(Frame(edges, scope), right, given, ids_only)
+
+    @staticmethod
+    def _with_rel(scope: dict[str, Binding], r: A.RelPat, rel: RelTable) -> dict[str, Binding]:
+        if r.var is None:
+            return scope
+        if r.var in scope:
+            raise BindError(f"'{r.var}' is already bound")
+        return {**scope, r.var: Binding("rel", (rel.name,))}
+
+    def _arrived(self, frame: Frame, right: str, given: dict, ids_only: frozenset) -> Frame:
+        """Bind the node at `#to`, or hold it against what it is bound to."""
+        df, scope = frame.df, frame.scope
         if right in scope:
-            frame = self._of_table(Frame(df, scope), right, given[right])
+            frame = self._of_table(frame, right, given[right])
             return Frame(frame.df.where(F.col("#to") == col(right)).drop("#from", "#to"), frame.scope)
-        scope[right] = Binding("node", (given[right],))
+        scope = {**scope, right: Binding("node", (given[right],))}
         if right in ids_only or (self.read is not None and right not in self.read):
             return Frame(df.withColumn(right, F.col("#to")).drop("#from", "#to"), scope)  # relationships have both their ends
         rows = self._node_columns(right, given[right])
@@ -408,8 +423,10 @@ class Lowering:
         for x in [x for x in walk(e) if isinstance(x, A.Exists)]:
             paths, where = self._exists_parts(x)
             df, on, _ = self._part(frame, paths, where)
-            reads = sorted({v for v in pattern_variables(paths) if v in frame.scope} | {v for w in where for v in variables(w) if v in frame.scope})
-            columns = [c for v in reads for c in frame.columns_of(v)]
+            asked = (*where, *self._inline(paths))
+            reads = {v for v in (*pattern_variables(paths), *variables(asked)) if v in frame.scope}
+            reads |= {f"{y.base.name}.{y.name}" for y in walk(asked) if isinstance(y, A.Prop) and isinstance(y.base, A.Var)} | {f"{v}.{LABEL}" for v in reads}
+            columns = [c for c in frame.df.columns if c in reads]
             self.marks += 1
             mark = f"#exists{self.marks}"
             hit = frame.df.select(*map(col, columns)).distinct().join(df, on, "left_semi").select(*[col(c).alias(f"#k.{c}") for c in columns], F.lit(True).alias(mark))
