@@ -48,18 +48,21 @@ class Queues:
         self.held = 0
 
     def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """The oldest array waiting at a symbol."""
-        if not self.parts[symbol]:
+        """What waits at a symbol, oldest first: one file's tuples, or all that memory holds."""
+        parts = self.parts[symbol]
+        if not parts:
             return None
-        first = self.parts[symbol].pop(0)
-        if isinstance(first, str):
+        if isinstance(parts[0], str):
             fs, _ = self.spool
-            with fs.open_input_stream(first) as f:
+            name = parts.pop(0)
+            with fs.open_input_stream(name) as f:
                 raw = io.BytesIO(f.read())
-            fs.delete_file(first)
+            fs.delete_file(name)
             return np.load(raw), np.load(raw)
-        self.held -= len(first[0])
-        return first
+        self.parts[symbol] = []
+        positions, prefixes = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+        self.held -= len(positions)
+        return positions, prefixes
 
 
 class Scan:
@@ -109,16 +112,18 @@ def runs(text: np.ndarray) -> np.ndarray:
     return np.minimum(np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n) + 1, CAP).astype(np.uint8)
 
 
-def dense(order: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Ranks from a sorted order and where it differs from its predecessor."""
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return rank
+def firsts(new: np.ndarray) -> np.ndarray:
+    """For each place in a sorted order the place where its group of equals begins."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _tied(rank: np.ndarray) -> np.ndarray:
+    return np.bincount(rank)[rank] > 1
 
 
 def names(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Ranks of the substrings from each seed to the next one, by symbols and types, six at a time; only what is still
-    tied and goes on is looked at again."""
+    """Ranks (the places where groups of equals begin) of the substrings from each seed to the next one, by symbols and
+    types, six at a time; only what is still tied and goes on is looked at again."""
     coded = np.append(text.astype(np.uint64) * np.uint64(2) + s_type, np.zeros(6, np.uint64))
     length = np.append(np.diff(seeds) + 1, 1)
 
@@ -133,29 +138,26 @@ def names(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray) -> np.ndarray
     every = np.arange(len(seeds))
     key = chunk(every, 0)
     order = np.argsort(key, kind="stable")
-    rank = dense(order, np.append(True, key[order][1:] != key[order][:-1]))
+    rank = np.empty(len(seeds), np.int64)
+    rank[order] = firsts(np.append(True, key[order][1:] != key[order][:-1]))
     k = 6
     while True:
-        tied = np.bincount(rank)[rank] > 1
+        tied = _tied(rank)
         rows = np.flatnonzero(tied & np.isin(rank, rank[tied & (length > k)]))
         if not len(rows):
             return rank
-        rank = _split(rank, rows, chunk(rows, k))
+        _split(rank, rows, chunk(rows, k))
         k += 6
 
 
-def _split(rank: np.ndarray, rows: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Ranks refined by key within the groups of equal rank that rows make up."""
-    order = np.lexsort((key, rank[rows]))
-    r, k = rank[rows][order], key[order]
-    new = np.append(False, (r[1:] == r[:-1]) & (k[1:] != k[:-1]))
-    first = np.append(True, r[1:] != r[:-1])
-    count = np.cumsum(new)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-    refined = rank.astype(np.float64)
-    local = count - count[start]  # distinct keys before, within the group
-    refined[rows[order]] = r + local / (len(rows) + 1.0)
-    return np.unique(refined, return_inverse=True)[1].astype(np.int64)
+def _split(rank: np.ndarray, rows: np.ndarray, key: np.ndarray) -> None:
+    """Refine, in place, the ranks of rows, which are whole groups of equals, by key."""
+    r = rank[rows]
+    order = np.argsort(r << 32 | key) if key.dtype == np.int64 else np.lexsort((key, r))
+    r, k = r[order], key[order]
+    group = np.append(True, r[1:] != r[:-1])
+    part = group | np.append(True, k[1:] != k[:-1])
+    rank[rows[order]] = r + firsts(part) - firsts(group)
 
 
 def seed_order(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
@@ -163,28 +165,33 @@ def seed_order(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, depth: i
     until they cover that depth (a name covers two symbols or more)."""
     rank, h, n = names(text, s_type, seeds), 1, len(seeds)
     while 2 * h <= depth:
-        tied = np.bincount(rank)[rank] > 1
-        rows = np.flatnonzero(tied)
+        rows = np.flatnonzero(_tied(rank))
         if not len(rows):
             break
         ahead = rows + h
-        key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        rank = _split(rank, rows, key)
+        _split(rank, rows, np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0))
         h *= 2
     return np.argsort(rank, kind="stable")
 
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Lengths of the common prefixes of suffix pairs, up to depth."""
-    padded = np.append(text, np.zeros(depth + 8, text.dtype))
+    """Lengths of the common prefixes of suffix pairs, up to depth: seven symbols of nine bits a word."""
+    padded = np.append(text, np.zeros(depth + 14, text.dtype)).astype(np.uint64)
+    words = np.zeros(len(padded) - 6, np.uint64)
+    for j in range(7):
+        words = words << np.uint64(9) | padded[j : len(words) + j]
     out, live = np.zeros(len(a), np.int64), np.arange(len(a))
-    for k in range(0, depth, 8):
+    for k in range(0, depth, 7):
         if not len(live):
             break
-        x = padded[a[live][:, None] + np.arange(k, k + 8)]
-        same = np.cumprod(x == padded[b[live][:, None] + np.arange(k, k + 8)], 1).sum(1)
-        out[live] += same
-        live = live[same == 8]
+        off = words[a[live] + k] ^ words[b[live] + k]
+        same = off == 0
+        bits = np.frexp((off[~same] >> np.uint64(9 * 3)).astype(np.float64))[1]  # exact for what is left of the upper four
+        low = np.frexp((off[~same] & np.uint64((1 << 27) - 1)).astype(np.float64))[1]
+        top = np.where(bits > 0, bits + 27, low)
+        out[live[same]] += 7
+        out[live[~same]] += (63 - top) // 9
+        live = live[same]
     return np.minimum(out, depth)
 
 
