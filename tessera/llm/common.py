@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import re
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +17,46 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 
 
+#: Rows of an Arrow batch where the session keeps Spark's default; whole texts are long rows.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+
+
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session fit for Python stages: few texts in an Arrow batch, unless the session has its own number, and this
+    package on the workers' path, shipped once an application through the shared folder."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == DEFAULT_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    if spark.sparkContext.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        fs, folder = filesystem(shared_dir(spark))
+        fs.create_dir(folder, recursive=True)
+        name = f"tessera-{uuid.uuid4().hex}.zip"
+        with fs.open_output_stream(f"{folder}/{name}") as out:
+            out.write(packed.getvalue())
+        spark.sparkContext.addPyFile(f"{shared_dir(spark)}/{name}")
+        _shipped.add(spark.sparkContext.applicationId)
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder that Python tasks read and write themselves."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_scratch"
         spark.sparkContext.setCheckpointDir(found)
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -26,6 +64,7 @@ class Scratch:
     """Tables written to the shared folder, so that no later stage depends on one executor's disk."""
 
     def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -57,7 +96,7 @@ def text_key(text: str = "text"):
 class WordIds(dict):
     """word -> 64-bit hash, remembered; emptied when it holds too many words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Scratch, prepare, small_side
+
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
@@ -19,7 +21,7 @@ EM_STEPS, REFINE_STEPS = 8, 4
 LARGEST_SET = 3
 UNDETERMINED = "und"
 #: Characters handled together.
-CHUNK = 500_000
+CHUNK = 250_000
 
 
 @lru_cache(1)
@@ -106,6 +108,7 @@ class Model:
 
 
 def learn(docs: DataFrame) -> Model:
+    prepare(docs.sparkSession)
     return Model(gram_counts(docs).toPandas())
 
 
@@ -184,17 +187,19 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those whose language can't be told; all columns pass through, texts unmoved."""
-    import pyarrow as pa
-
+    """docs without those whose language can't be told. Only the rejected rows' ids and text hashes come back from
+    Python, so texts are read and not moved."""
+    scratch = Scratch(docs.sparkSession, "languages")
+    mark = F.xxhash64("text").alias("#text")
     model = learn(docs.where(fold(4) != 2))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reject(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            known = np.zeros(len(texts), bool)
-            for at, found in label_texts(texts, model):
-                known[at] = found[0] != UNDETERMINED
-            yield b.filter(pa.array(known))
-
-    return docs.mapInArrow(pick, docs.schema)
+            known = np.zeros(len(b), bool)
+            for at, _ in label_texts([t or "" for t in b["text"]], model):
+                known[at] = True
+            yield pd.DataFrame({"#id": b["doc_id"].astype("Int64")[~known], "#text": b["#text"][~known]})
+
+    gone = scratch.save("rejected", docs.select("doc_id", "text", mark).mapInPandas(reject, "`#id` long, `#text` long").distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("#id")) & (F.xxhash64("text") == F.col("#text"))
+    return docs.join(small_side(gone), same, "left_anti").select(docs.columns)

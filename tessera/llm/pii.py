@@ -10,6 +10,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import prepare
+
 # The base patterns and the order of kinds.
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -158,6 +160,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
             spans = [[(s.kind, s.start, s.end, s.score, s.base) for s in find_pii(t)] for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "spans": spans})
 
+    prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(scan, SPANS)
 
 
@@ -178,4 +181,5 @@ def pii_digest(docs: DataFrame) -> DataFrame:
                 rows.append((i, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), len(found) - len(base)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")]).astype({"doc_id": "Int64"})
 
+    prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(scan, DIGEST)

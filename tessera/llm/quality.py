@@ -30,7 +30,7 @@ FEATURES = DIMS + SCALARS
 
 
 class Slots(dict):
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import filesystem, prepare, shared_dir
 
 MAGIC = b"TSRTOK01"
 FOOTER = struct.Struct("<QQQQI4s")
@@ -37,10 +37,6 @@ SPECIAL = "<|endoftext|>"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
-
-
 #: Signs that may end a chunk; the pattern breaks between a letter and such a sign.
 SIGNS = ".,;:!?|$*&%#@()[]{}<>=+-_/~^\"'`"
 
@@ -84,23 +80,20 @@ class Chunks(dict):
             self.elder = dict(self)
             self.clear()
         new, elder = chunks.difference(self), self.elder
-        words, signed = set(), []
-        for c in new:
-            if c in elder:
-                self[c] = elder[c]
-            elif len(c) > self.LONGEST:
-                continue
-            elif c.isalpha():
-                words.add(c)
-            else:
-                stem = c.rstrip(SIGNS)
-                if stem.isalpha():
-                    signed.append((c, stem))
-                    if stem in elder:
-                        self[stem] = elder[stem]
-                    elif stem not in self:
-                        words.add(stem)
-        listed = list(words)
+        old = new & elder.keys()
+        self.update({c: elder[c] for c in old})
+        new -= old
+        words = set(filter(str.isalpha, new))
+        signed = []
+        for c in new - words:
+            stem = c.rstrip(SIGNS)
+            if stem.isalpha() and len(c) <= self.LONGEST:
+                signed.append((c, stem))
+                if stem in elder:
+                    self[stem] = elder[stem]
+                elif stem not in self:
+                    words.add(stem)
+        listed = [w for w in words if len(w) <= self.LONGEST]
         for k in range(0, len(listed), self.TOGETHER):
             part = listed[k : k + self.TOGETHER]
             (e,) = self.tokenizer.encode_batch_fast([self.lead + self.between.join(part)], add_special_tokens=False)
@@ -127,7 +120,7 @@ class Encoder:
         spaced, feeds = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
         spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the vocabulary's mark of a space
         feeds[vocabulary["\u010a"]] = True  # and its line feed
-        self.first, self.rest = Chunks(self.tokenizer, "", "\n", feeds, 60_000), Chunks(self.tokenizer, " ", " ", spaced, 350_000)
+        self.first, self.rest = Chunks(self.tokenizer, "", "\n", feeds, 60_000), Chunks(self.tokenizer, " ", " ", spaced, 250_000)
         self.end, self.feed = struct.pack("<I", end_id), struct.pack("<I", vocabulary["\u010a"])
 
     def whole(self, text: str) -> bytes:
@@ -257,6 +250,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
     shards at most, then larger ones), each streamed to its file, so memory holds a batch and the shard's index.
     """
     spark = docs.sparkSession
+    prepare(spark)
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
