@@ -19,9 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, mix, shared_dir, small_side
+from tessera.llm.common import Scratch, filesystem, mix, shared_dir, small_side
 from tessera.llm.induced_sort import induced_order
-from tessera.llm.token_files import filesystem
 
 LENGTH, PIECE = 100, 32
 WIDE = LENGTH - PIECE + 1  # pieces in a string
@@ -135,16 +134,21 @@ def find_runs(buckets: int):
             many = np.diff(np.append(np.flatnonzero(first), len(r))) > 1
             held.clear()
             docs.clear()
-            rows = []
-            f, c = r[first], r[~first]
-            fd, cd = doc[first], doc[~first]
-            fb, cb = (x["key"] % np.uint64(buckets) for x in (f, c))
-            for b in range(buckets):
-                i, j = np.flatnonzero(fb == b), np.flatnonzero(cb == b)
-                if len(i):
-                    key = f["key"][i]
-                    entries = pack(np.diff(key, prepend=key[:1] * 0), f["ctx"][i], fd[i], f["pos"][i], f["n"][i] * 2 + many[i])
-                    rows.append((b, entries, pack(cd[j], c["pos"][j], c["n"][j]) if len(j) else None))
+            bucket = r["key"] % np.uint64(buckets)
+            into, rows = np.flatnonzero(first), []
+            into = into[np.argsort(bucket[into], kind="stable")]
+            later = np.flatnonzero(~first)
+            later = later[np.argsort(bucket[later], kind="stable")]
+            flags = np.zeros(len(r), np.int64)
+            flags[np.flatnonzero(first)] = many
+            cuts = np.append(np.flatnonzero(_changes(bucket[into])), len(into))
+            for a, z in zip(cuts, cuts[1:]):  # entries by bucket, each bucket's in the order of their keys
+                i = into[a:z]
+                lo, hi = np.searchsorted(bucket[later], [bucket[i[0]], bucket[i[0]] + np.uint64(1)])
+                j = later[lo:hi]
+                key = r["key"][i]
+                entries = pack(np.diff(key, prepend=key[:1] * 0), r["ctx"][i], doc[i], r["pos"][i], r["n"][i] * 2 + flags[i])
+                rows.append((int(bucket[i[0]]), entries, pack(doc[j], r["pos"][j], r["n"][j]) if len(j) else None))
             return pd.DataFrame(rows, columns=["bucket", "entries", "copies"])
 
         for b in batches:
