@@ -42,27 +42,31 @@ SIGNS = ".,;:!?|$*&%#@()[]{}<>=+-_/~^\"'`"
 
 
 class Chunks(dict):
-    """chunk -> its ids' bytes, with `lead` in front of it. None marks a chunk that white space touches, whose ids depend
-    on its neighbours.
+    """chunk -> its ids' bytes: a chunk follows a space, or begins with a line feed that it then includes. None marks a
+    chunk that other white space touches, whose ids depend on its neighbours.
 
     Of two generations the younger takes what is new or met again; when it is full, the elder is dropped, so chunks in
     use stay and memory is bounded."""
 
-    LONGEST, TOGETHER = 64, 2000
+    LIMIT, LONGEST, TOGETHER = 300_000, 64, 2000
 
-    def __init__(self, tokenizer, lead: str, between: str, starts: np.ndarray, limit: int):
-        """limit: chunks in a generation; between: what parts words that are encoded together; starts: the ids at which, with it, a word starts."""
+    def __init__(self, tokenizer):
         super().__init__()
-        self.limit = limit
-        self.tokenizer, self.lead, self.between, self.starts, self.elder, self.tails = tokenizer, lead, between, starts, {}, {}
+        self.tokenizer, self.limit, self.elder, self.tails = tokenizer, self.LIMIT, {}, {}
+        vocabulary = tokenizer.get_vocab()
+        self.spaced, self.feeds = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the vocabulary's mark of a space
+        self.feeds[vocabulary["\u010a"]] = True  # and its line feed
+        self.feed = struct.pack("<I", vocabulary["\u010a"])
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes | None:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        body = chunk[1:] if chunk[:1] == "\n" else chunk
+        if not body or body[0].isspace() or body[-1].isspace():
             return None
-        ids = self.elder.get(chunk) or self.encode(self.lead + chunk)
+        ids = self.elder.get(chunk) or (self.encode(" " + chunk) if body is chunk else self.feed + self.encode(body))
         if len(chunk) <= self.LONGEST:
             self[chunk] = ids
         return ids
@@ -83,30 +87,35 @@ class Chunks(dict):
         old = new & elder.keys()
         self.update({c: elder[c] for c in old})
         new -= old
-        words = set(filter(str.isalpha, new))
-        signed = []
-        for c in new - words:
+        led = set(filter(str.isalpha, new))
+        unled, signed = set(), []
+        for c in new - led:
             stem = c.rstrip(SIGNS)
-            if stem.isalpha() and len(c) <= self.LONGEST:
-                signed.append((c, stem))
-                if stem in elder:
-                    self[stem] = elder[stem]
-                elif stem not in self:
-                    words.add(stem)
-        listed = [w for w in words if len(w) <= self.LONGEST]
-        for k in range(0, len(listed), self.TOGETHER):
-            part = listed[k : k + self.TOGETHER]
-            (e,) = self.tokenizer.encode_batch_fast([self.lead + self.between.join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            heads = np.flatnonzero(self.starts[ids])
-            skip = 0 if self.lead else 1  # without a lead, what starts a word is the sign between words
-            cuts = [0, *((heads if self.lead else heads + 1) * 4).tolist()] if skip else (heads * 4).tolist()
-            if len(cuts) == len(part):
-                raw = ids.tobytes()
-                self.update({w: raw[a:b] for w, a, b in zip(part, cuts, [x - 4 * skip for x in cuts[1:]] + [len(raw)])})
+            plain = stem[1:] if stem[:1] == "\n" else stem
+            if plain.isalpha() and len(c) <= self.LONGEST:
+                if len(stem) < len(c):
+                    signed.append((c, stem))
+                    if stem in elder:
+                        self[stem] = elder[stem]
+                        continue
+                if stem not in self:
+                    (led if plain is stem else unled).add(plain)
+        self._together([w for w in led if len(w) <= self.LONGEST], " ", self.spaced)
+        self._together(list(unled), "\n", self.feeds)
         for c, stem in signed:
             self[c] = self[stem] + self.tail(c[len(stem) :])
 
+    def _together(self, words: list[str], mark: str, starts: np.ndarray) -> None:
+        """Encode words of letters in one go, the mark in front of each; with it, a word starts at each id in `starts`."""
+        for k in range(0, len(words), self.TOGETHER):
+            part = words[k : k + self.TOGETHER]
+            (e,) = self.tokenizer.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            cuts = (np.append(np.flatnonzero(starts[ids]), len(ids)) * 4).tolist()
+            if len(cuts) == len(part) + 1:
+                raw, front = ids.tobytes(), "" if mark == " " else mark
+                self.update({front + w: raw[a:b] for w, a, b in zip(part, cuts, cuts[1:])})
+
 
 class Encoder:
     """Ids of whole texts. The vocabulary's pattern always breaks in front of a single space between other characters,
@@ -116,12 +125,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        vocabulary = self.tokenizer.get_vocab()
-        spaced, feeds = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
-        spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the vocabulary's mark of a space
-        feeds[vocabulary["\u010a"]] = True  # and its line feed
-        self.first, self.rest = Chunks(self.tokenizer, "", "\n", feeds, 60_000), Chunks(self.tokenizer, " ", " ", spaced, 250_000)
-        self.end, self.feed = struct.pack("<I", end_id), struct.pack("<I", vocabulary["\u010a"])
+        self.chunks, self.end = Chunks(self.tokenizer), struct.pack("<I", end_id)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -131,7 +135,7 @@ class Encoder:
         head, *parts = LONE_SPACE.split(text)
         out = [self.whole(head)]
         for p in parts:
-            ids = self.rest[p]
+            ids = self.chunks[p] if p[:1] != "\n" else None
             out.append(self.whole(" " + p) if ids is None else ids)
         return b"".join(out)
 
@@ -144,26 +148,20 @@ class Encoder:
             gc.enable()
 
     def _ids(self, texts: list[str | None]) -> list[bytes]:
-        lines = [[line.split(" ") for line in t.split("\n")] if t and SPECIAL not in t else None for t in texts]
-        firsts, rests = set(), set()
-        for held in lines:
-            for chunks in held or ():
-                firsts.add(chunks[0])
-                rests.update(chunks[1:])
-        self.first.learn(firsts)
-        self.rest.learn(rests)
-        first, rest, out = self.first.__getitem__, self.rest.__getitem__, []
-        for t, held in zip(texts, lines):
+        # a line feed goes in front of each text, so that its first chunk is one of a line; its id is cut off again
+        split = [f"\n{t}".replace("\n", " \n").split(" ") if t and SPECIAL not in t else () for t in texts]
+        self.chunks.learn(set().union(*split))
+        get, out = self.chunks.__getitem__, []
+        for t, parts in zip(texts, split):
             if not t:
                 out.append(self.end)
-            elif held is None:
+            elif not parts:
                 out.append(self.whole(t) + self.end)
             else:
                 try:
-                    made = self.feed.join([b"".join((first(c[0]), *map(rest, c[1:]))) for c in held])
+                    out.append(b"".join((*map(get, parts[1:]), self.end))[4:])
                 except TypeError:
-                    made = self.slowly(t)
-                out.append(made + self.end)
+                    out.append(self.slowly(t) + self.end)
         return out
 
 

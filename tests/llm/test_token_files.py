@@ -27,7 +27,7 @@ def test_encoder_equals_library(texts):
 
 def test_small_caches():
     e = T.Encoder(PATH, 2)
-    e.first.limit = e.rest.limit = 3
+    e.chunks.limit = 3
     texts = ["one two three. four, five six", "seven eight\nnine ten!", "one two <|endoftext|> x", "it's 'll a b"] * 3
     for _ in range(3):
         assert [np.frombuffer(g, "<u4").tolist() for g in e.ids(texts)] == [plain(t) for t in texts]
