@@ -48,7 +48,7 @@ class Chunks(dict):
     Of two generations the younger takes what is new or met again; when it is full, the elder is dropped, so chunks in
     use stay and memory is bounded."""
 
-    LIMIT, LONGEST, TOGETHER = 300_000, 64, 2000
+    LIMIT, LONGEST, TOGETHER = 450_000, 64, 2000
 
     def __init__(self, tokenizer):
         super().__init__()
