@@ -17,19 +17,20 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 
 
-#: Rows of an Arrow batch where the session keeps Spark's default; whole texts are long rows.
-BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+#: Rows of a batch where the session keeps Spark's default (the second number); whole texts are long rows, and a batch of
+#: Parquet's reader is one array.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": (1000, "10000"), "spark.sql.parquet.columnarReaderBatchSize": (512, "4096")}
 
 
 _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make a session fit for Python stages: few texts in an Arrow batch, unless the session has its own number, and this
+    """Make a session fit for Python stages: few texts in a batch, unless the session has its own number, and this
     package on the workers' path, shipped once an application through the shared folder."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == DEFAULT_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    for key, (ours, default) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
     if spark.sparkContext.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
         packed = io.BytesIO()
@@ -60,6 +61,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_folders: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables of this process; DataFrames that read them can't be run any more."""
+    while _folders:
+        fs, folder = filesystem(_folders.pop())
+        if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+            fs.delete_dir(folder)
+
+
 class Scratch:
     """Tables written to the shared folder, so that no later stage depends on one executor's disk."""
 
@@ -67,6 +79,7 @@ class Scratch:
         prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _folders.append(self.root)
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -21,3 +21,13 @@ def test_components(spark):
     loops = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: find(x) for x in up if x not in loops}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "e").count() == 0
+
+
+def test_clear_scratch(spark):
+    from tessera.llm.common import clear_scratch, filesystem
+
+    s = Scratch(spark, "t")
+    assert s.save("x", spark.range(3)).count() == 3
+    fs, folder = filesystem(s.root)
+    clear_scratch(spark)
+    assert fs.get_file_info(folder).type.name == "NotFound"
