@@ -137,7 +137,8 @@ def find_runs(buckets: int):
             bucket = r["key"] % np.uint64(buckets)
             into, rows = np.flatnonzero(first), []
             into = into[np.argsort(bucket[into], kind="stable")]
-            later = np.flatnonzero(~first)
+            head = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+            later = np.flatnonzero(~first & ((doc != doc[head]) | (r["pos"] != r["pos"][head])))  # a repeated row is no earlier string
             later = later[np.argsort(bucket[later], kind="stable")]
             flags = np.zeros(len(r), np.int64)
             flags[np.flatnonzero(first)] = many

@@ -69,6 +69,14 @@ def test_ids(spark, documents, prose):
     assert S.remove_repeats(documents([])).count() == 0
 
 
+def test_repeated_rows_in_one_task(spark, documents, prose):
+    text, other = prose(50), prose(50)
+    rows = [(3, text), (3, text), (5, f"{other} {other}"), (5, f"{other} {other}"), (7, text)]
+    got = S.remove_repeats(documents(rows).coalesce(1)).collect()
+    want = brute([rows[0], rows[2], rows[4]])
+    assert sorted(tuple(r) for r in got) == sorted((i, *want[i]) for i, _ in rows)
+
+
 def test_induced_order_against_sorting():
     rng = random.Random(4)
     for _ in range(120):
