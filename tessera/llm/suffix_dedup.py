@@ -4,7 +4,7 @@ Equal 100-byte strings have the same least hashed 32-byte piece (the leftmost of
 that share one such anchor are the unit of work. Runs whose anchor occurs once in the corpus can't repeat. The others are
 cut out of the texts as short contexts, dealt to shards by anchor, and each shard's suffixes are ordered by external
 induced sorting: neighbours with a common prefix of 100 bytes or more are equal strings, of which the earliest stays.
-Contexts with equal bytes are sent once, with their earliest start; the later ones are removed whole.
+Contexts with equal bytes, told by two 64-bit hashes, are sent once, with their earliest start; the later ones are removed whole.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ LENGTH, PIECE = 100, 32
 WIDE = LENGTH - PIECE + 1  # pieces in a string
 PLACE_BITS = 20
 SEGMENT = (1 << PLACE_BITS) - 1024
-CTX_MASK = np.uint64((1 << 40) - 1)
 FLUSH_RUNS = 1_500_000
 BUCKET_BYTES, SHARD_BYTES = 16 << 20, 3 << 20
 QUEUE_TUPLES = 20_000_000
@@ -34,7 +33,7 @@ QUEUE_TUPLES = 20_000_000
 _RNG = np.random.default_rng(4711)
 _BYTES = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
-RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("pos", "<i8"), ("n", "<i8")])
+RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("ctx2", "<u8"), ("pos", "<i8"), ("n", "<i8")])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -63,7 +62,8 @@ _powers_held = Powers()
 
 
 def runs_of(text: bytes) -> np.ndarray:
-    """Runs of string starts with a common anchor: anchor's hash, hash of the run's bytes, first start, number of starts."""
+    """Runs of string starts with a common anchor: anchor's hash, two 64-bit hashes of the run's bytes (of its bytes and of
+    its pieces), first start, number of starts."""
     if len(text) < LENGTH:
         return np.zeros(0, RUN)
     b = np.frombuffer(text, np.uint8)
@@ -73,6 +73,8 @@ def runs_of(text: bytes) -> np.ndarray:
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[b] * up[:n], out=prefix[1:])
     h = mix((prefix[PIECE:] - prefix[:-PIECE]) * down[: n - PIECE + 1])
+    pieces = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=pieces[1:])
     out = []
     starts = n - LENGTH + 1
     for low in range(0, starts, SEGMENT):
@@ -88,7 +90,9 @@ def runs_of(text: bytes) -> np.ndarray:
         part["key"] = v[first] >> np.uint64(PLACE_BITS)
         part["pos"], part["n"] = first + low, np.diff(np.append(first, count))
         ends = part["pos"] + part["n"] + LENGTH - 1
-        part["ctx"] = mix((prefix[ends] - prefix[part["pos"]]) * down[part["pos"]]) & CTX_MASK
+        back = down[part["pos"]]
+        part["ctx"] = mix((prefix[ends] - prefix[part["pos"]]) * back)
+        part["ctx2"] = mix((pieces[ends - PIECE + 1] - pieces[part["pos"]]) * back)
         out.append(part)
     return np.concatenate(out)
 
@@ -126,11 +130,13 @@ def find_runs(buckets: int):
         held, docs, n = [], [], 0
 
         def settle() -> pd.DataFrame:
-            r = np.concatenate(held)
-            doc = np.repeat(np.array(docs, np.int64), [len(x) for x in held])
-            order = np.lexsort((r["pos"], doc, r["ctx"], r["key"]))
+            ids = np.array(docs, np.int64)
+            by_id = np.argsort(ids, kind="stable")  # runs come by pos within a text, so the stable sort needs neither
+            r = np.concatenate([held[k] for k in by_id])
+            doc = np.repeat(ids[by_id], [len(held[k]) for k in by_id])
+            order = np.lexsort((r["ctx2"], r["ctx"], r["key"]))
             r, doc = r[order], doc[order]
-            first = _changes(r["key"], r["ctx"])
+            first = _changes(r["key"], r["ctx"], r["ctx2"])
             many = np.diff(np.append(np.flatnonzero(first), len(r))) > 1
             held.clear()
             docs.clear()
@@ -148,7 +154,7 @@ def find_runs(buckets: int):
                 lo, hi = np.searchsorted(bucket[later], [bucket[i[0]], bucket[i[0]] + np.uint64(1)])
                 j = later[lo:hi]
                 key = r["key"][i]
-                entries = pack(np.diff(key, prepend=key[:1] * 0), r["ctx"][i], doc[i], r["pos"][i], r["n"][i] * 2 + flags[i])
+                entries = pack(np.diff(key, prepend=key[:1] * 0), r["ctx"][i], r["ctx2"][i], doc[i], r["pos"][i], r["n"][i] * 2 + flags[i])
                 rows.append((int(bucket[i[0]]), entries, pack(doc[j], r["pos"][j], r["n"][j]) if len(j) else None))
             return pd.DataFrame(rows, columns=["bucket", "entries", "copies"])
 
@@ -180,17 +186,17 @@ def meet_runs(rows: pd.DataFrame) -> pd.DataFrame:
     """A bucket's entries -> doc_id, gone (runs removed whole), asked (runs whose contexts must be sorted)."""
     gone, columns = [], []
     for entries, copies in zip(rows["entries"], rows["copies"]):
-        columns.append(unpack(entries, 5))
+        columns.append(unpack(entries, 6))
         if copies is not None:
             gone.append(unpack(copies, 3))
     key = np.concatenate([np.cumsum(c[0]) for c in columns])
-    ctx, doc, pos, flagged = (np.concatenate([c[k] for c in columns]) for k in range(1, 5))
-    order = np.lexsort((pos, doc, ctx, key))
-    key, ctx, doc, pos, flagged = (x[order] for x in (key, ctx, doc, pos, flagged))
+    ctx, ctx2, doc, pos, flagged = (np.concatenate([c[k] for c in columns]) for k in range(1, 6))
+    order = np.lexsort((pos, doc, ctx2, ctx, key))
+    key, ctx, ctx2, doc, pos, flagged = (x[order] for x in (key, ctx, ctx2, doc, pos, flagged))
     n, many = flagged >> 1, flagged & 1
     group = np.cumsum(_changes(key)) - 1
     repeated = (np.bincount(group) > 1)[group] | (np.bincount(group, many) > 0)[group]
-    first = _changes(key, ctx)
+    first = _changes(key, ctx, ctx2)
     later = ~first
     head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
     later &= (doc != doc[head]) | (pos != pos[head])  # a repeated row is no earlier string

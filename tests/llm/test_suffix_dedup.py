@@ -77,6 +77,17 @@ def test_repeated_rows_in_one_task(spark, documents, prose):
     assert sorted(tuple(r) for r in got) == sorted((i, *want[i]) for i, _ in rows)
 
 
+def test_contexts_that_share_40_hash_bits(spark, documents):
+    line = "A line that many documents hold, at the same place in each of them, with other words followi"
+    rows = [(2 * k + j, line + tail) for k, pair in enumerate([("anjiwawp", "thqadobw"), ("rsjvxuia", "emwkqnps")]) for j, tail in enumerate(pair)]
+    for (_, a), (_, b) in zip(rows[::2], rows[1::2]):
+        a, b = S.runs_of(a.encode()), S.runs_of(b.encode())
+        low = np.uint64((1 << 40) - 1)
+        assert a["key"] == b["key"] and a["ctx"] & low == b["ctx"] & low and a["ctx2"] != b["ctx2"]
+    assert [r.n_removed for r in S.remove_repeats(documents(rows)).collect()] == [0] * 4
+    check(documents(rows).coalesce(1), rows)
+
+
 def test_induced_order_against_sorting():
     rng = random.Random(4)
     for _ in range(120):
