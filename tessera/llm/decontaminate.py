@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, small_side
 
 WIDTH, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
+#: Words by which the parts of one copy may be moved against each other, at most half of this for certain.
+DRIFT = 16
 UNITS = (
     "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ft|in|inch|inches|feet|mile|miles|yard|yards|meter|meters|metre|metres|kilometers|liter|liters|litre|litres|ml|l"
     "|second|seconds|sec|minute|minutes|min|hour|hours|hr|hrs|day|days|week|weeks|month|months|year|years"
@@ -55,7 +57,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values that meet one document value throughout; kind is `copy` if each meets itself (or there are none), else
     `reparameterised`. Null and empty texts and texts of fewer than five tokens hold nothing; items of fewer than five
     tokens, or of placeholders only, aren't looked for; where several rows share a doc_id or item_id their windows
-    count together, and slots are read from the least text; null ids match nothing. Other columns are ignored. Empty
+    count together; null ids match nothing. All occurrences of a window are judged: those at one alignment (place in the
+    document less place in the item), those at alignments up to DRIFT apart, and the first ones of the whole least text.
+    A row stands for the best of these that passes: copies first, then by windows, consistency and slots. Other columns are ignored. Empty
     tables give an empty result.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
@@ -67,15 +71,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = parts.groupBy("item_id").agg(F.count_distinct("hash").alias("windows"))
     first = parts.groupBy("hash", "item_id").agg(F.min("item_at").alias("item_at"))
     ours = docs.select("doc_id", tokens.alias("tokens")).select("doc_id", F.explode(windows(F.col("tokens"), True)).alias("w")).select("doc_id", F.col("w.hash").alias("hash"), F.col("w.at").alias("at"))
-    met = ours.join(small_side(first), "hash").groupBy("doc_id", "item_id", "item_at").agg(F.min("at").alias("at"))
-    held = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.collect_list(F.struct("item_at", "at")).alias("places"))
-    likely = scratch.save("likely", held.join(sizes, "item_id").where(F.col("matched") >= COVERAGE * F.col("windows")))
+    met = ours.join(small_side(first), "hash").groupBy("doc_id", "item_id", "item_at").agg(F.count("*").alias("times"))
+    held = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("held"))
+    likely = scratch.save("likely", held.join(sizes, "item_id").where(F.col("held") >= COVERAGE * F.col("windows")).select("doc_id", "item_id", "windows"))
 
+    # the few documents left are read again, with every place of every window
     values = F.split(marked_text(F.col("text")), " ")
-    item_values = items.join(likely.select("item_id").distinct(), "item_id", "left_semi").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", values.alias("theirs"))
-    ids = likely.select("doc_id").distinct()
-    doc_values = docs.join(small_side(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", values.alias("ours"))
-    both = likely.join(doc_values, "doc_id").join(item_values, "item_id")
+    text_id = F.xxhash64("text")
+    read = lambda df, key, text: df.join(small_side(likely.select(key).distinct()), key, "left_semi").where("text is not null").select(key, "text", text_id.alias(text)).distinct()
+    doc_rows, item_rows = scratch.save("docs", read(docs, "doc_id", "doc_text")), scratch.save("texts", read(items, "item_id", "item_text"))
+    placed = lambda df, key, text, at, keep: df.select(key, text, tokens.alias("tokens")).select(key, text, F.explode(windows(F.col("tokens"), keep)).alias("w")).select(key, text, F.col("w.hash").alias("hash"), F.col("w.at").alias(at))
+    least = lambda df, key, text, name: df.groupBy(key).agg(F.min_by(text, "text").alias(name))
+    every = (
+        placed(item_rows, "item_id", "item_text", "item_at", False)
+        .join(likely, "item_id")
+        .join(placed(doc_rows, "doc_id", "doc_text", "at", True), ["doc_id", "hash"])
+        .join(first.withColumnRenamed("item_at", "first_at"), ["hash", "item_id"])
+    )
+    shift = F.col("at") - F.col("item_at")
+    sets = [("exact", shift), ("low", F.floor(shift / DRIFT)), ("high", F.floor((shift + DRIFT // 2) / DRIFT))]
+    aligned = every.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("long").alias("at")) for k, v in sets])).alias("set"))
+    whole = (
+        every.where("item_at = first_at")
+        .drop("doc_text", "item_text")
+        .join(least(doc_rows, "doc_id", "doc_text", "doc_text"), "doc_id")
+        .join(least(item_rows, "item_id", "item_text", "item_text"), "item_id")
+        .withColumn("set", F.struct(F.lit("whole").alias("kind"), F.lit(0).cast("long").alias("at")))
+    )
+    judged = ["doc_id", "item_id", "windows", "doc_text", "item_text", "set"]
+    firsts = aligned.unionByName(whole).groupBy(*judged, "hash", "item_at").agg(F.min("at").alias("at"))
+    sets_held = firsts.groupBy(*judged).agg(F.count_distinct("hash").alias("matched"), F.collect_set(F.struct("item_at", "at")).alias("places"))
+    passing = sets_held.where(F.col("matched") >= COVERAGE * F.col("windows"))
+    both = passing.join(doc_rows.select("doc_id", "doc_text", values.alias("ours")), ["doc_id", "doc_text"]).join(
+        item_rows.select("item_id", "item_text", values.alias("theirs")), ["item_id", "item_text"]
+    )
     along = lambda p: F.transform(
         F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.struct(F.get("theirs", p["item_at"] + j).alias("asked"), F.get("ours", p["at"] + j).alias("found"))
     )
@@ -88,12 +117,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "item_id",
         "matched",
         "windows",
-        (F.col("matched") / F.col("windows")).alias("coverage"),
         F.size(asked).alias("slots"),
         F.when(F.size(asked) == 0, 1.0).otherwise(F.size(settled) / F.greatest(F.size(asked), F.lit(1))).alias("consistency"),
-        F.when(same, "copy").otherwise("reparameterised").alias("kind"),
+        same.alias("same"),
+    )
+    best = out.where(F.col("consistency") >= CONSISTENCY).groupBy("doc_id", "item_id", "windows").agg(F.max(F.struct("same", "matched", "consistency", "slots")).alias("best"))
+    return best.select(
+        "doc_id",
+        "item_id",
+        "best.matched",
+        "windows",
+        (F.col("best.matched") / F.col("windows")).alias("coverage"),
+        "best.slots",
+        "best.consistency",
+        F.when(F.col("best.same"), "copy").otherwise("reparameterised").alias("kind"),
     )
-    return out.where(F.col("consistency") >= CONSISTENCY)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -37,6 +37,15 @@ def test_inconsistent_slots(spark, documents):
     assert [(r.doc_id, r.consistency) for r in got.collect()] == [(1, 1.0)]
 
 
+def test_like_exercise_in_front_of_a_copy(spark, documents):
+    item = "Then a train travels 120 km in 3 hours so who of them is faster here?"
+    front = "For one a train travels 60 km in 7 hours as they say."
+    docs = documents([(1, f"{front} {item}"), (2, f"{item} {front}"), (3, front), (4, f"{front} {item.replace('120', '46')}")])
+    got = sorted((r.doc_id, r.coverage, r.consistency, r.kind) for r in contamination(docs, bench(spark, [(9, item)])).collect())
+    assert got == [(1, 1.0, 1.0, "copy"), (2, 1.0, 1.0, "copy"), (4, 1.0, 1.0, "reparameterised")]
+    assert [r.doc_id for r in decontaminated(docs, bench(spark, [(9, item)])).collect()] == [3]
+
+
 def test_all_items_against_brute_force(spark, documents, prose):
     items = [(k, prose(25)) for k in range(12)]
     docs = [(k, f"{prose(40)} {items[k % 12][1]} {prose(30)}" if k % 3 == 0 else prose(80)) for k in range(60)]
