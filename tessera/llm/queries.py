@@ -48,8 +48,7 @@ def op7_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum.mix_sources(_documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", curriculum.taken(F.col("passes")).alias("taken"))
+    return curriculum.curriculum(_documents(spark, sf_dir))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
