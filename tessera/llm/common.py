@@ -101,6 +101,20 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: A key with more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys, so they may be broadcast.
+HOT_SHARE = 10_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows left-joined with keyed, which has one row a key and, as `weight`, its number of rows. Hot keys are joined by
+    broadcast and null keys not at all, so neither gathers in a task. Both sides are read more than once."""
+    total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = keyed.where(F.col(weight) > total / HOT_SHARE)
+    few, rest = F.broadcast(hot), keyed.where(F.col(weight) <= total / HOT_SHARE)
+    out = rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").where(F.col(key).isNotNull()).join(rest, key, "left"))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def text_key(text: str = "text"):
     """16-byte identity of a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))

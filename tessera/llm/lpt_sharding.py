@@ -7,35 +7,59 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, text_key
+from tessera.llm.common import Scratch, join_hot, text_key
 
-#: At most BIG * shards groups exceed 1/(BIG * shards) of all bytes, so the driver's heap holds at most that many
-#: plus BUNDLES items, whatever the input.
-BIG = 1024
-BUNDLES = 16384
 ROWS_PER_BLOCK = 4000
 
 
-def lpt(items: list[tuple[int, object]], shards: int) -> dict[object, int]:
-    """Give each (load, key), largest first, to the least-loaded shard; ties go to the smaller key and shard."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for load, key in sorted(items, key=lambda x: (-x[0], x[1])):
-        total, s = heapq.heappop(heap)
-        out[key] = s
-        heapq.heappush(heap, (total + load, s))
+def lpt(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int]]]:
+    """For each (load, count) of `count` groups of one load, the largest load first: (load, how many of them each shard
+    gets), by giving every group in turn to the least-loaded shard, ties to the smaller one.
+
+    Groups of one load are alike, so a class is dealt at once: as long as all shards' loads lie within one group of each
+    other, a round gives each of them one; only the rest goes through the heap one by one.
+    """
+    totals, out = [0] * shards, []
+    for load, count in sorted(classes, reverse=True):
+        given, heap = [0] * shards, [(t, s) for s, t in enumerate(totals)]
+        heapq.heapify(heap)
+        while count:
+            if count >= shards and max(totals) - heap[0][0] < load:
+                rounds, count = divmod(count, shards)
+                given = [g + rounds for g in given]
+                totals = [t + rounds * load for t in totals]
+                heap = [(t, s) for s, t in enumerate(totals)]
+                heapq.heapify(heap)
+                continue
+            _, s = heap[0]
+            totals[s] += load
+            given[s] += 1
+            count -= 1
+            heapq.heapreplace(heap, (totals[s], s))
+        out.append((load, given))
     return out
 
 
+def ranked(rows: DataFrame, key: str, order: list[str], blocks: int, name: str) -> DataFrame:
+    """rows with `name`, gapless from 0 within each key in the order of blocks of hashed rows; a key's rows are numbered
+    a block at a time, so no task sorts a whole key."""
+    blocked = rows.withColumn("#block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    before = Window.partitionBy(key).orderBy("#block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    first = blocked.groupBy(key, "#block").agg(F.count("*").alias("#held")).select(key, "#block", F.coalesce(F.sum("#held").over(before), F.lit(0)).alias("#first"))
+    within = Window.partitionBy(key, "#block").orderBy(*order)
+    return blocked.join(first, [key, "#block"]).withColumn(name, F.col("#first") + F.row_number().over(within) - 1).drop("#block", "#first")
+
+
 def shard_by_lpt(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot.
 
     Size is the text's UTF-8 bytes plus 1 (null text: 1, in one group with empty texts). Rows with equal texts form
-    a group. A group of more than 1/(1024 * shards) of all bytes is an item of its own; the others are hashed into
-    16,384 bundles. Items go, largest first, to the least-loaded shard through a heap; the driver sees at most
-    1024 * shards + 16,384 items. slot counts from 0 in each shard without gaps. A null doc_id is a row like any
-    other; repeated rows each keep a slot; an empty table gives an empty result. Columns other than doc_id and text
-    are ignored.
+    a group, and every group is scheduled by its own load, largest first, to the least-loaded shard through a heap. The
+    driver sees (load, number of groups) classes: loads that differ add up to all bytes at most, so there are fewer than
+    sqrt(2 * bytes) of them, whatever the number of groups; which of a class's equal groups go to which shard is decided
+    by their rank in the order of hashed texts. slot counts from 0 in each shard without gaps. A null doc_id is a row
+    like any other; repeated rows each keep a slot; an empty table gives an empty result. Columns other than doc_id and
+    text are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lpt")
@@ -49,41 +73,16 @@ def shard_by_lpt(docs: DataFrame, shards: int = 16) -> DataFrame:
             text_key().alias("group"),
         ),
     )
-    bundle = F.pmod(F.xxhash64("group"), F.lit(BUNDLES)).cast("int")
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    groups = rows.groupBy("group").agg(F.sum("size").alias("load"))
-    big = groups.where(F.col("load") * BIG * shards > total)
-    big_rows = big.collect()
-    big_keys = spark.createDataFrame([(bytes(r.group),) for r in big_rows], "group binary")
-    small_loads = (
-        rows.join(F.broadcast(big_keys), "group", "left_anti").groupBy(bundle.alias("bundle")).agg(F.sum("size").alias("load")).collect()
-    )
-    placed = lpt([(r.load, bytes(r.group).hex()) for r in big_rows] + [(r.load, f"~{r.bundle:08d}") for r in small_loads], shards)
-    big_map = spark.createDataFrame([(bytes.fromhex(k), s) for k, s in placed.items() if k[0] != "~"], "group binary, big_shard int")
-    small_map = spark.createDataFrame([(int(k[1:]), s) for k, s in placed.items() if k[0] == "~"], "bundle int, small_shard int")
-    blocks = max(16, n // (shards * ROWS_PER_BLOCK))
-    dealt = scratch.save(
-        "dealt",
-        rows.withColumn("bundle", bundle)
-        .join(F.broadcast(big_map), "group", "left")
-        .join(F.broadcast(small_map), "bundle", "left")
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.coalesce("big_shard", "small_shard").alias("shard"),
-            F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).alias("block"),
-        ),
-    )
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    first = (
-        dealt.groupBy("shard", "block")
-        .agg(F.count("*").alias("held"))
-        .select("shard", "block", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
-    )
-    within = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
-    return (
-        dealt.join(first, ["shard", "block"])
-        .withColumn("slot", F.col("first") + F.row_number().over(within) - 1)
-        .select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
+    groups = scratch.save("groups", rows.groupBy("group").agg(F.sum("size").alias("load"), F.count("*").alias("members")))
+    classes = [(r.load, r.n) for r in groups.groupBy("load").agg(F.count("*").alias("n")).collect()]
+    n = sum(c for _, c in classes)
+    dealt = [(load, sum(given), [sum(given[: s + 1]) for s in range(shards)]) for load, given in lpt(classes, shards)]
+    bounds = spark.createDataFrame(dealt, "load long, alike long, ends array<long>")
+    placed = join_hot(scratch.save("ranked", ranked(groups, "load", ["group"], max(16, n // ROWS_PER_BLOCK), "rank")), bounds, "load", "alike")
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard")
+    home = scratch.save("home", placed.select("group", "members", shard))
+    found = join_hot(rows, home, "group", "members").select("doc_id", "size", "text_crc32", "shard")
+    blocks = max(16, groups.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0] // (shards * ROWS_PER_BLOCK))
+    return ranked(scratch.save("dealt", found), "shard", ["doc_id", "text_crc32", "size"], blocks, "slot").select(
+        "doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot")
     )

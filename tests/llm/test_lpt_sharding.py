@@ -24,15 +24,36 @@ def test_law(spark, documents, prose, shards):
     assert max(load.values()) - min(load[s] for s in range(shards)) <= 2000 + 100 * 19 * (shards > 10)
 
 
-def test_lpt_equals_plain_greedy():
-    items = [(s, k) for k, s in enumerate([9, 8, 7, 7, 5, 5, 4, 1, 1])]
-    load = [0, 0, 0]
-    want = {}
-    for s, k in sorted(items, key=lambda x: (-x[0], x[1])):
-        at = load.index(min(load))
-        want[k] = at
-        load[at] += s
-    assert L.lpt(items, 3) == want
+@pytest.mark.parametrize("shards", [1, 3, 16])
+def test_lpt_equals_plain_greedy(shards):
+    import random
+
+    for seed in range(30):
+        rng = random.Random(seed)
+        classes = {rng.randint(1, 60): rng.choice([1, 2, 5, 40, 300]) for _ in range(rng.randint(1, 12))}
+        load, want = [0] * shards, {}
+        for size in sorted(classes, reverse=True):
+            given = want.setdefault(size, [0] * shards)
+            for _ in range(classes[size]):
+                at = load.index(min(load))
+                given[at] += 1
+                load[at] += size
+        assert dict(L.lpt(list(classes.items()), shards)) == want
+
+
+def test_every_group_is_scheduled(spark, documents, prose):
+    """Loads by shard are those of a plain greedy over all groups, a long text and many of one size among them."""
+    rows = [(k, f"{k:04d}") for k in range(1500)] + [(2000 + k, prose(k % 90)) for k in range(400)] + [(9000, "long " * 20_000)]
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len(t.encode()) + 1
+    want = [0] * 16
+    for size in sorted(groups.values(), reverse=True):
+        want[want.index(min(want))] += size
+    got = Counter()
+    for r in L.shard_by_lpt(documents(rows)).collect():
+        got[r.shard] += r.size
+    assert [got[s] for s in range(16)] == want
 
 
 def test_a_group_larger_than_a_shard(spark, documents, prose):
