@@ -3,10 +3,10 @@ rest are compared exactly.
 
 Texts with equal shingle sets form a class, which its least doc_id represents. Representatives that share a band meet in
 its bucket. There their MinHash values are compared a few at a time, and a pair is dropped as soon as the posterior
-probability (uniform prior) of a similarity at or above the threshold falls below the tolerance. What is left only says
-which representatives may be similar: its connected components are the groups within which shingle sets are compared
-exactly, all against all. Large buckets and groups are cut into blocks, and a task takes two blocks, so a task holds at
-most two blocks of rows, and no step emits more than a row for each member of a task.
+probability (uniform prior) of a similarity at or above the threshold falls below the tolerance. The connected components
+of what is left say which texts must come to one place; there the values decide again, pair by pair, which shingle sets
+are compared exactly, and pruned pairs are not. Large buckets and groups are cut into blocks, and a task takes two blocks,
+so a task holds at most two blocks of rows, and no step emits more than a row for each member of a task.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, WordIds, mix, shingles, small_side, word_hashes
+from tessera.llm.common import Scratch, WordIds, join_hot, mix, shingles, small_side, word_hashes
 from tessera.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -256,28 +256,36 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def exact_links(threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Group rows (rep, copies, text, own, i, j) -> rep, links, root: how many documents outside its class it links to
-    in this task, and the least representative it reaches there."""
+    """Group rows (rep, copies, values, text, own, i, j) -> rep, links, root: how many documents outside its class it
+    links to in this task, and the least representative it reaches there. Only pairs that outlast the pruning are
+    compared, and only texts of such pairs are cut into shingles."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
         for b, starts in each_group(batches, ["component", "i", "j"]):
             rep, own, i, j, copies = (b[c].to_numpy() for c in ("rep", "own", "i", "j", "copies"))
             texts, links, roots = b["text"].tolist(), np.zeros(len(b), np.int64), rep.copy()
+            values = np.frombuffer(b"".join(b["values"]), "<u2").reshape(len(b), HASHES)
             for s, e in zip(starts, np.append(starts[1:], len(b))):
-                sets = [shingle_set(t, ids) for t in texts[s:e]]
+                left, right = group_pairs(own[s:e], i[s], j[s], s)
+                likely = survivors(values[left], values[right])
+                left, right = left[likely], right[likely]
+                rows = np.unique(np.concatenate([left, right]))
+                if not len(rows):
+                    continue
+                sets = [shingle_set(texts[k], ids) for k in rows]
                 size = np.array([len(x) for x in sets])
-                shared = overlaps(sets)
-                linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
-                side = own[s:e]
-                mine = np.ones_like(linked) if i[s] == j[s] else side[:, None] != side[None, :]
-                linked &= mine & ~np.eye(e - s, dtype=bool) & (size[:, None] > 0)
-                links[s:e] = linked @ copies[s:e]
+                a, c = np.searchsorted(rows, left), np.searchsorted(rows, right)
+                shared = overlaps(sets)[a, c]
+                linked = (shared >= threshold * (size[a] + size[c] - shared) - 1e-9) & (size[a] > 0) & (size[c] > 0)
+                left, right = left[linked], right[linked]
+                np.add.at(links, left, copies[right])
+                np.add.at(links, right, copies[left])
                 order = np.argsort(rep[s:e], kind="stable")  # so that the least row is the least representative
                 forest = Forest(e - s)
                 place = np.argsort(order)
-                for a, c in zip(*np.nonzero(np.triu(linked))):
-                    forest.join(int(place[a]), int(place[c]))
+                for a, c in zip(place[left - s].tolist(), place[right - s].tolist()):
+                    forest.join(a, c)
                 roots[s:e] = [rep[s + order[forest.find(int(p))]] for p in place]
             yield pd.DataFrame({"rep": rep, "links": links, "root": roots})
 
@@ -290,7 +298,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n_links counts the other rows whose sets of five-word shingles (lower-cased \\w+ words of whole texts) have a Jaccard
     similarity of at least the threshold; class_id is the least doc_id reachable by such links, the document's own where
     there are none; set_rep is the least doc_id with an equal set. Null and empty texts link with nothing. Repeated rows
-    count as copies; a doc_id with several texts is compared by the least of them. A null doc_id links with nothing and keeps a null class_id. Other columns are ignored. An empty
+    count as copies; a doc_id with several texts is compared by the least of them. Of
+    pairs that share a band, one at 0.8 is pruned with a probability of some 1e-6. A null doc_id links with nothing and keeps a null class_id. Other columns are ignored. An empty
     table gives an empty result. The threshold must be 0.8 or more: bands miss a pair at 0.8 with probability 3e-6.
     """
     if threshold < THRESHOLD:
@@ -316,10 +325,10 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with_text = (
         docs.join(small_side(groups.select(F.col("node").alias("doc_id"))), "doc_id")
         .select(F.col("doc_id").alias("rep"), "text")
-        .join(classes.select("rep", "copies", "set_key"), "rep")
+        .join(classes.select("rep", "copies", "values"), "rep")
     )
     # one row a representative: repeated rows, and the least text where a doc_id has several
-    with_text = with_text.groupBy("rep").agg(F.min("text").alias("text"), F.first("copies").alias("copies"))
+    with_text = with_text.groupBy("rep").agg(F.min("text").alias("text"), F.first("copies").alias("copies"), F.first("values").alias("values"))
     tasks = members.join(with_text, "rep").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
     found = scratch.save("found", tasks.mapInPandas(exact_links(threshold), "rep long, links long, root long"))
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch, "linked")
@@ -328,10 +337,11 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         classes.select("set_key", "rep", "copies")
         .join(counts, "rep", "left")
         .join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("set_key", "rep", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("set_key", "rep", "copies", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
+    classed = scratch.save("classed", classed)
     keyed = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
-    return keyed.join(classed, "set_key", "left").select(
+    return join_hot(keyed, classed, "set_key", "copies").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "doc_id").alias("set_rep")
     )
 
