@@ -14,7 +14,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +32,23 @@ INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length
 #: The dictionary is trained on the first PIECE ids of the SAMPLE documents with the smallest doc_ids; it serves
 #: compression alone, never what is stored. So does the number of shards, from their mean length.
 SAMPLE, PIECE, DICT_BYTES, LEVEL = 2000, 2048, 65536, 3
-SHARD_CHARS, MOST_SHARDS = 32 << 20, 20_000
+SHARD_CHARS = 32 << 20
+#: Quantiles asked of one aggregate; where there are more shards, each range between them has its own.
+QUANTILES = 4096
+#: So many texts of a batch of the sample are compared.
+COMPARED = 100
+#: Texts whose ids by chunks are compared with their whole encoding before a tokenizer's chunks are trusted.
+PROBES = (
+    "One word, two words; 3 words: 4.5 and -6!",
+    "one line\nanother Line\n3rd, line. last\n(line)",
+    " a leading space and a trailing one ",
+    "lines\nend here\n\nand (there) \"quoted\" 'single' it's we'll\r\n\ttabs",
+    "Ünïcödé straße ελληνικά русский 中文字 日本語 \U0001f600 e\u0301",
+    "snake_case camelCase UPPER x=y+1; f(x)[0]{k:'v'} a/b\\c #tag @me 100% $5 <b>&amp;</b> ~^|`",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa . ... !!! --",
+    "nul\x00 bell\x07 nbsp\u00a0x thin\u2009y zero\u200bwidth",
+    ".",
+)
 SPECIAL = "<|endoftext|>"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -118,14 +134,24 @@ class Chunks(dict):
 
 
 class Encoder:
-    """Ids of whole texts. The vocabulary's pattern always breaks in front of a single space between other characters,
-    and around a single line feed between them, so the chunks between such breaks are encoded by themselves and remembered."""
+    """Ids of whole texts. Where a vocabulary's pattern always breaks in front of a single space between other characters,
+    and around a single line feed between them, the chunks between such breaks are encoded by themselves and remembered.
+    Whether it does is tried on PROBES; another tokenizer encodes every text whole."""
 
-    def __init__(self, tokenizer_path: str, end_id: int):
+    def __init__(self, tokenizer_path: str, end_id: int, chunked: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.chunks, self.end = Chunks(self.tokenizer), struct.pack("<I", end_id)
+        self.tokenizer, self.end = Tokenizer.from_file(tokenizer_path), struct.pack("<I", end_id)
+        try:
+            self.chunks = Chunks(self.tokenizer) if chunked else None
+        except KeyError:  # no byte-level marks of a space and a line feed
+            self.chunks = None
+        if self.chunks is not None and not self.agrees(PROBES):
+            self.chunks = None
+
+    def agrees(self, texts: Sequence[str]) -> bool:
+        """Whether chunks give what whole texts give."""
+        return self.chunks is None or self.ids(list(texts)) == [self.whole(t) + self.end for t in texts]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -148,6 +174,8 @@ class Encoder:
             gc.enable()
 
     def _ids(self, texts: list[str | None]) -> list[bytes]:
+        if self.chunks is None:
+            return [self.whole(t) + self.end if t else self.end for t in texts]
         # a line feed goes in front of each text, so that its first chunk is one of a line; its id is cut off again
         split = [f"\n{t}".replace("\n", " \n").split(" ") if t and SPECIAL not in t else () for t in texts]
         self.chunks.learn(set().union(*split))
@@ -166,9 +194,39 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder_of(tokenizer_path: str, end_id: int) -> Encoder:
+def encoder_of(tokenizer_path: str, end_id: int, chunked: bool = True) -> Encoder:
     """One for all tasks of a worker."""
-    return Encoder(tokenizer_path, end_id)
+    return Encoder(tokenizer_path, end_id, chunked)
+
+
+def shard_bounds(ids: DataFrame, shards: int) -> np.ndarray:
+    """shards - 1 ascending quantiles of doc_id, null ones counted as the least number. An id that holds more rows than a
+    shard comes several times."""
+    known = ids.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"))
+    top = min(shards, QUANTILES)
+    at = lambda n: [k / n for k in range(1, n)]
+    cuts = known.agg(F.percentile_approx("doc_id", at(top) or [0.5], 100_000)).first()[0] or []
+    if shards <= 1:
+        return np.zeros(0, np.int64)
+    if shards <= QUANTILES:
+        return np.array(cuts, np.int64)
+    each = -(-shards // QUANTILES)
+    between = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id")))
+    inner = known.groupBy(between.alias("range")).agg(F.percentile_approx("doc_id", at(each), 10_000).alias("cuts")).collect()
+    return np.sort(np.concatenate([np.array(cuts, np.int64), *[np.array(r.cuts, np.int64) for r in inner]]))
+
+
+LEAST_ID = -(1 << 63)
+
+
+def shards_of(ids: np.ndarray, bounds: np.ndarray, frames: list[bytes]) -> np.ndarray:
+    """The shard of each document, in ascending order of ids; a document whose id takes several shards goes to one of them
+    by its frame."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    out = high.astype(np.int32)
+    for k in np.flatnonzero(high - low > 1):
+        out[k] = low[k] + zlib.crc32(frames[k]) % int(high[k] - low[k] + 1)
+    return out
 
 
 def train_dictionary(pieces: list[bytes]) -> bytes:
@@ -244,8 +302,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
 
     Returns the folder and, for each shard, (shard, documents, tokens). Null texts count as empty; null doc_ids come
     first; rows with equal doc_ids stand next to each other in the order of their frames; columns other than doc_id and
-    text are ignored; an empty table gives no shards. Shards hold ranges of doc_id of about 32 million characters each (20,000
-    shards at most, then larger ones), each streamed to its file, so memory holds a batch and the shard's index.
+    text are ignored; an empty table gives no shards. Shards hold ranges of doc_id of about 32 million characters each, a
+    task each, streamed to its file, so memory holds a batch and the shard's index; the rows of an id that outgrows a shard
+    are spread over several. Chunks are remembered only if they give what whole texts give, on PROBES and on the sample.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -261,28 +320,31 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
         encoder = encoder_of(tokenizer_path, end_id)
         for b in batches:
             texts = b["text"].tolist()
-            yield pd.DataFrame({"piece": [x[: 4 * PIECE] for x in encoder.ids(texts)], "size": [len(t or "") for t in texts]})
+            agrees = encoder.agrees([t[:PIECE] for t in texts[:COMPARED] if t])
+            yield pd.DataFrame({"piece": [x[: 4 * PIECE] for x in encoder.ids(texts)], "size": [len(t or "") for t in texts], "agrees": agrees})
 
-    sample = first.mapInPandas(pieces, "piece binary, size long").collect()
+    sample = first.mapInPandas(pieces, "piece binary, size long, agrees boolean").collect()
+    chunked = all(r.agrees for r in sample)
     mean = sum(r["size"] for r in sample) / len(sample) if sample else 0
-    shards = max(1, min(MOST_SHARDS, math.ceil(mean * ids.count() / SHARD_CHARS)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 100_000)).first()[0] or []
-    bounds = np.array(cuts if shards > 1 else [], np.int64)
+    shards = max(1, math.ceil(mean * ids.count() / SHARD_CHARS))
+    bounds = shard_bounds(ids, shards)
+    shards = len(bounds) + 1
     dictionary = train_dictionary(sorted(bytes(r.piece) for r in sample))
     digest = hashlib.sha256(dictionary).digest()
     with fs.open_output_stream(f"{path}/{digest.hex()}.dict") as out:
         out.write(dictionary)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id, chunked)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         for b in batches:
             for k in range(0, len(b), 1000):
                 part = b.iloc[k : k + 1000]
                 raw = encoder.ids(part["text"].tolist())
                 ids = part["doc_id"].astype("Int64")
-                shard = np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right"))
-                yield pd.DataFrame({"shard": shard.astype(np.int32), "doc_id": ids, "tokens": [len(r) // 4 for r in raw], "frame": [pack.compress(r) for r in raw]})
+                frames = [pack.compress(r) for r in raw]
+                shard = shards_of(ids.fillna(LEAST_ID).to_numpy(np.int64), bounds, frames)
+                yield pd.DataFrame({"shard": shard, "doc_id": ids, "tokens": [len(r) // 4 for r in raw], "frame": frames})
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done, writer = [], None
@@ -298,7 +360,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
         yield pd.DataFrame(done, columns=["shard", "docs", "tokens"])
 
     encoded = docs.mapInPandas(encode, "shard int, doc_id long, tokens long, frame binary")
-    ordered = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
+    ordered = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
     written = ordered.mapInPandas(write, "shard int, docs long, tokens long").collect()
     return folder, sorted((r.shard, r.docs, r.tokens) for r in written)
 

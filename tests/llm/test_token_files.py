@@ -47,6 +47,31 @@ def test_round_trip(spark, documents, prose, tmp_path, monkeypatch):
         start += len(ids)
 
 
+def test_another_tokenizer(spark, documents, tmp_path):
+    """A vocabulary that drops white space and cases: chunks would give other ids, so texts are encoded whole."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    rows = [(1, "One two  three."), (2, "lines\nof text, it's 5 o'clock"), (3, None)]
+    folder, shards = T.write_tokens(documents(rows), path, 2, f"file://{tmp_path}/tok")
+    for g in T.read_digest(spark, folder, shards).collect():
+        ids = other.encode(dict(rows)[g.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert (g.n_tokens, g.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+    assert T.Encoder(path, 2).chunks is None and T.Encoder(PATH, 2).chunks is not None
+
+
+def test_hot_ids_and_many_shards(spark, documents, prose, tmp_path, monkeypatch):
+    """An id and the missing id hold a third of all rows each, and there are more shards than quantiles at once."""
+    monkeypatch.setattr(T, "SHARD_CHARS", 2000)
+    monkeypatch.setattr(T, "QUANTILES", 4)
+    rows = [(40, prose(20)) for _ in range(80)] + [(None, prose(20)) for _ in range(80)] + [(k, prose(20)) for k in range(80)]
+    folder, shards = T.write_tokens(documents(rows), PATH, 2, f"file://{tmp_path}/tok")
+    assert sum(n for _, n, _ in shards) == len(rows) and len(shards) > 8 and max(n for _, n, _ in shards) < len(rows) / 4
+    got = sorted(T.read_digest(spark, folder, shards).collect(), key=lambda r: r.start)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(-1 if i is None else i for i, _ in rows)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
 def test_one_document_and_damage(spark, documents, tmp_path):
     folder, shards = T.write_tokens(documents([(1, "a b c"), (2, "d e")]), PATH, 2, f"file://{tmp_path}/tok")
     (name,) = [p for p in (tmp_path / "tok").iterdir() if p.suffix == ".dict"]
