@@ -46,6 +46,29 @@ def test_added_kinds_and_context():
     assert near.score > far.score and far.base  # base spans stay
 
 
+def test_context_decides_each_added_kind():
+    kinds = lambda t: [s.kind for s in P.find_pii(t)]
+    assert kinds("GB29 NWBK 6016 1331 9268 19") == ["iban"] and kinds("serial GB29 NWBK 6016 1331 9268 19") == []
+    assert kinds("serial of the bank: GB29 NWBK 6016 1331 9268 19") == ["iban"]
+    word = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert kinds(f'token = "{word}"') == ["secret"] and kinds(f"see {word}") == [] and kinds(f"commit token {word}") == []
+    assert kinds("token " + "ab" * 20) == [] and kinds("key anticonstitutionnellement2") == ["secret"]
+    scores = [s.score for s in P.find_pii("call +1 212 555 0100, or 4111111111111111, order 4111111111111111")]
+    assert all(0 <= x <= 1 for x in scores) and len(set(scores)) > 1
+
+
+def test_long_texts_and_equal_rows(spark, documents):
+    import time
+
+    began = time.perf_counter()
+    for t in ("a1" * 300_000, "a1" * 200_000 + "@", "1 " * 300_000, "@" * 300_000, "GB29 " * 100_000, "+1" * 200_000):
+        P.find_pii(t)
+    assert time.perf_counter() - began < 60
+    rows = [(1, "x@y.zz"), (1, "x@y.zz"), (1, "other 10.0.0.1")]
+    got = [(r.n_email, r.n_ip, r.scores.count(".")) for r in P.pii_digest(documents(rows)).collect()]
+    assert sorted(got) == [(0, 1, 1), (1, 0, 1), (1, 0, 1)]
+
+
 def test_digest(spark, documents):
     rows = [(1, "write to a.b@c.org or +1 212 555 0100"), (2, None), (3, ""), (4, "é 10.0.0.1"), (None, "x@y.zz"), (5, "clean words")]
     got = {r.doc_id: r for r in P.pii_digest(documents(rows)).collect()}
