@@ -16,9 +16,10 @@ from tessera.llm.common import Scratch, prepare, small_side
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
-EM_STEPS, REFINE_STEPS = 8, 4
-#: Languages tried in one document's set, added in the order of their proportions.
-LARGEST_SET = 3
+#: A document's proportions are settled when no step moves one by more than this.
+SETTLED = 1e-3
+#: What a language of proportion 0 starts with where a larger set is tried.
+LITTLE = 1e-6
 UNDETERMINED = "und"
 #: Characters handled together.
 CHUNK = 250_000
@@ -112,54 +113,74 @@ def learn(docs: DataFrame) -> Model:
     return Model(gram_counts(docs).toPandas())
 
 
-def em(like: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """(languages, documents) proportions after so many steps, and each document's log-likelihood. Languages with
-    proportion 0 stay out."""
-    for _ in range(steps):
-        r = like * np.repeat(pi, sizes, 1)
+def em(like: np.ndarray, sizes: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(languages, documents) proportions when they have settled, and each document's log-likelihood. like: (languages,
+    words), a document's words standing together, `sizes` of them. Languages with proportion 0 stay out. Documents that
+    have settled leave the sums."""
+    pi, active, part, held = pi.copy(), np.arange(len(sizes)), like, sizes
+    while len(active):
+        starts = np.cumsum(held) - held
+        r = part * np.repeat(pi[:, active], held, 1)
         r /= r.sum(0)
-        pi = np.add.reduceat(r, starts, 1) / sizes.astype(np.float32)
+        new = np.add.reduceat(r, starts, 1) / held.astype(np.float32)
+        moving = np.abs(new - pi[:, active]).max(0) > SETTLED
+        pi[:, active] = new
+        if not moving.all():
+            part = part[:, np.repeat(moving, held)]
+            active, held = active[moving], held[moving]
     fit = (like * np.repeat(pi, sizes, 1)).sum(0)
-    return pi, np.add.reduceat(np.log(fit), starts)
+    return pi, np.add.reduceat(np.log(fit), np.cumsum(sizes) - sizes)
 
 
 def infer(like: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Proportions by document in the language set whose log-likelihood less (free parameters / 2) log(words) is largest."""
-    starts = np.cumsum(sizes) - sizes
-    n_langs = len(like)
-    pi, _ = em(like, starts, sizes, np.full((n_langs, len(sizes)), 1 / n_langs, np.float32), EM_STEPS)
-    rank = np.argsort(np.argsort(-pi, 0, kind="stable"), 0, kind="stable")
-    best, best_value = None, np.full(len(sizes), -np.inf)
-    for k in range(1, min(LARGEST_SET, n_langs) + 1):
-        inside = np.where(rank < k, np.maximum(pi, 1e-6), 0).astype(np.float32)
-        got, value = em(like, starts, sizes, inside / inside.sum(0), REFINE_STEPS if k > 1 else 0)
-        value = value - (k - 1) / 2 * np.log(sizes + 1)
-        better = value > best_value
-        best = got if best is None else np.where(better, got, best)
-        best_value = np.where(better, value, best_value)
+    """Proportions by document in the language set whose log-likelihood less (free parameters / 2) log(words) is largest.
+
+    Sets grow in the order of the proportions among all languages, as long as the penalised likelihood rises; no size is
+    ruled out. All languages together fit best, so a document whose likelihood with all of them, less the penalty of one
+    language more, is no better than what it has needs no larger set.
+    """
+    n_langs, price = len(like), np.log(sizes + 1) / 2
+    every, ceiling = em(like, sizes, np.full((n_langs, len(sizes)), 1 / n_langs, np.float32))
+    rank = np.argsort(np.argsort(-every, 0, kind="stable"), 0, kind="stable")
+    best = (rank == 0).astype(np.float32)
+    top, starts = every.argmax(0), np.cumsum(sizes) - sizes
+    value = np.add.reduceat(np.log(np.maximum(like[np.repeat(top, sizes), np.arange(like.shape[1])], 1e-30)), starts)
+    open_ = np.ones(len(sizes), bool)
+    for k in range(2, n_langs + 1):
+        open_ &= ceiling - (k - 1) * price > value
+        (docs,) = open_.nonzero()
+        if not len(docs):
+            break
+        inside = np.where(rank[:, docs] < k, np.maximum(every[:, docs], LITTLE), 0).astype(np.float32)
+        got, fit = em(like[:, np.repeat(open_, sizes)], sizes[docs], inside / inside.sum(0))
+        fit = fit - (k - 1) * price[docs]
+        better = fit > value[docs]
+        best[:, docs[better]], value[docs[better]] = got[:, better], fit[better]
+        open_[docs[~better]] = False
     return best.T
 
 
-def label_texts(texts: list[str], model: Model) -> Iterator[tuple[int, tuple[str, float, list[float]]]]:
-    """(place, (language, its proportion, all proportions)) of each text that has letters."""
+def label_texts(texts: list[str], model: Model) -> Iterator[tuple[int, tuple[str, float, list[tuple[str, float]]]]]:
+    """(place, (language, its proportion, the set's languages and proportions)) of each text that has letters."""
     for first, part in in_chunks(texts if model.langs else []):
         grams = Grams(part)
         (full,) = grams.words.nonzero()
         if len(full):
             for k, p in zip(full, infer(grams.likelihoods(model.log_p), grams.words[full])):
-                at = int(p.argmax())
-                yield first + k, (model.langs[at], float(min(1.0, p[at])), p.astype(float).tolist())
+                order = np.argsort(-p, kind="stable")[: int((p > 0).sum())]
+                shares = [(model.langs[at], float(min(1.0, p[at]))) for at in order]
+                yield first + k, (*shares[0], shares)
 
 
-PREDICTED = "doc_id long, lang_pred string, score double, proportions array<double>"
+PREDICTED = "doc_id long, lang_pred string, score double, proportions array<struct<lang:string,share:double>>"
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, proportions (by language in sorted order) for every whole text.
+    """doc_id, lang_pred, score, proportions (language and share, the largest first) for every whole text.
 
     lang_pred is the language with the largest proportion in the selected set, score that proportion; `und` with score
     0 where the text is null or has no letter, or where no language was learned. Ties go to the earlier language. Each
-    row gives a row; other columns are ignored.
+    row gives a row, equal rows equal ones; texts are whole, however long; other columns are ignored.
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

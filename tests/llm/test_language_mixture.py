@@ -40,11 +40,61 @@ def test_mixture(spark, documents):
     model = M.learn(documents(corpus()))
     mixed = " ".join([word(rng, "aa") for _ in range(60)] + [word(rng, "bb") for _ in range(40)])
     (r,) = M.predict(documents([(1, mixed)]), model).collect()
-    assert r.lang_pred == "aa" and abs(r.proportions[0] - 0.6) < 0.06 and abs(r.proportions[1] - 0.4) < 0.06
+    share = {x.lang: x.share for x in r.proportions}
+    assert r.lang_pred == "aa" and abs(share["aa"] - 0.6) < 0.06 and abs(share["bb"] - 0.4) < 0.06 and "cc" not in share
     (r,) = M.predict(documents([(1, " ".join(word(rng, "cc") for _ in range(50)))]), model).collect()
     assert r.lang_pred == "cc" and r.score == 1.0  # the penalty leaves one language
 
 
+def plain_mixture(like, sizes):
+    """Every document by itself in double precision: EM over all languages, then over every prefix of their order."""
+    out, at = [], 0
+    for n in sizes:
+        x = like[:, at : at + n].astype(float)
+        at += n
+
+        def fit(inside, start, x=x, n=n):
+            p = np.where(inside, start, 0.0)
+            p /= p.sum()
+            for _ in range(3000):
+                r = x * p[:, None]
+                p = (r / r.sum(0)).mean(1)
+            return p, np.log((x * p[:, None]).sum(0)).sum()
+
+        every, _ = fit(np.ones(len(x), bool), np.ones(len(x)))
+        order, best = np.argsort(-every, kind="stable"), (-np.inf, None)
+        for k in range(1, len(x) + 1):
+            p, value = fit(np.isin(np.arange(len(x)), order[:k]), np.maximum(every, 1e-6))
+            if (value := value - (k - 1) / 2 * np.log(n + 1)) <= best[0]:
+                break
+            best = value, p
+        out.append(best[1])
+    return np.array(out)
+
+
+def test_em_and_sets_against_brute_force():
+    rng = np.random.default_rng(5)
+    sizes, columns = rng.integers(1, 120, 60), []
+    for k, n in enumerate(sizes):
+        langs = rng.permutation(5)[: 1 + k % 5]
+        for _ in range(n):
+            x = np.exp(-rng.exponential(6, 5))
+            x[rng.choice(langs)] = 1
+            columns.append(x)
+    like = np.array(columns, np.float32).T
+    got, want = M.infer(like, sizes), plain_mixture(like, sizes)
+    assert np.abs(got - want).max() < 0.03 and ((got > 0.02) == (want > 0.02)).mean() > 0.99
+    assert (np.sum(want > 0.02, 1) == 5).any()  # sets of five languages are found too
+
+
+def test_ties_repeats_and_a_long_text(spark, documents):
+    rng = random.Random(3)
+    same = [(k, "zz yy", "aa" if k % 2 else "bb") for k in range(40)]  # no letter tells the two apart
+    long = " ".join(word(rng, "aa") for _ in range(100_000))
+    got = M.identify(documents([*same, (7, "zz yy", "aa"), (99, long, "aa")])).collect()
+    assert len(got) == 42 and len({(r.lang_pred, r.score) for r in got if r.doc_id < 40}) == 1
+
+
 def test_grams_against_brute_force():
     texts = ["Abc, de!", "", "x", "éa_b 12c"]
     g = M.Grams(texts)
