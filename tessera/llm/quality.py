@@ -210,10 +210,12 @@ class Network:
 
 
 def fit_network(feats: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
-    """Learn from labelled rows whose fold by 3 is not 1; a document with several labels counts by their mean."""
+    """Learn from labelled rows whose fold by 3 is not 1; a document with several labels counts by their mean, one with
+    several texts by the least of their features."""
     known = labels.where(F.col(label).isNotNull() & (fold(3) != 1)).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    rows = feats.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    found = feats.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.first("y").alias("y"))
+    rows = found.toPandas().sort_values("doc_id")
     x = np.stack(rows["features"].to_numpy()).astype(float) if len(rows) else np.zeros((0, FEATURES))
     return Network(FEATURES).fit(x, rows["y"].to_numpy(float))
 

@@ -30,6 +30,15 @@ def test_held_out_labels_change_nothing(spark, documents, prose):
     assert a == b
 
 
+def test_repeated_rows_and_a_long_text(spark, documents, prose):
+    """An id with two texts, given in either order, and equal rows; a text far longer than a chunk."""
+    docs, labels = corpus(prose)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    extra = [(0, "$ | $ other"), (0, docs[0][1]), (777, " ".join([prose(50)] * 4000))]
+    a, b = (sorted((r.doc_id, r.score) for r in Q.score_quality(documents(x).coalesce(1), lab).collect()) for x in (docs + extra, extra[::-1] + docs))
+    assert np.allclose([s for _, s in a], [s for _, s in b], atol=1e-6) and len(a) == len(docs) + 3
+
+
 def test_no_labels_and_empty(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in Q.score_quality(documents([(1, "a b"), (2, None)]), none).collect()] == [0.5, 0.5]
