@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
 Numbers, names and units become typed placeholders, so that a question asked anew with other values keeps its template.
-Windows of five template tokens are hashed and joined with the benchmark's; a document that holds at least 0.8 of an
-item's windows, and whose values stand consistently in the item's slots, is contaminated.
+Windows of five template tokens are hashed and joined with the benchmark's; a document with a passage that holds at least
+0.8 of an item's windows, and whose values stand consistently in the item's slots, is contaminated. A text has two
+templates: `plain`, whose names stay words, so that a copy is found whatever its capitals; and `named`, whose capitalised
+words are placeholders wherever they stand, so that what precedes a word makes no difference. Either may be met.
 """
 
 from __future__ import annotations
@@ -15,119 +17,158 @@ from tessera.llm.common import Scratch, small_side
 WIDTH, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
 #: Words by which the parts of one copy may be moved against each other, at most half of this for certain.
 DRIFT = 16
+#: A passage is looked at in cells of so many times the item's length, every half of it, so one of twice its length is whole.
+CELL = 4
 UNITS = (
     "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ft|in|inch|inches|feet|mile|miles|yard|yards|meter|meters|metre|metres|kilometers|liter|liters|litre|litres|ml|l"
     "|second|seconds|sec|minute|minutes|min|hour|hours|hr|hrs|day|days|week|weeks|month|months|year|years"
     "|percent|dollar|dollars|usd|cent|cents|euro|euros|eur|pound|pounds|degree|degrees|mph|kph|hz|khz|mhz|ghz|kb|mb|gb|tb|watt|watts|volt|volts"
 )
-NAME = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;:]\s\p{Lu})\p{L}*"
+NAME = r"(?<!\p{L})\p{Lu}\p{L}*"
 
 
 def marked_text(text: Column) -> Column:
-    """Lower-cased words parted by single spaces; values carry their type in front: #n number, #p name (a capitalised word
-    inside a sentence; neighbours join), #u unit after a number."""
+    """Lower-cased words parted by single spaces; values carry their type in front: #n number, #p name (any capitalised
+    word), #u unit after a number."""
     t = F.translate(text, "#", " ")
     t = F.lower(F.regexp_replace(t, NAME, "#p$0"))
     t = F.regexp_replace(t, r"(\d)[.,](?=\d)", "$1")
     t = F.regexp_replace(t, r"\d+", " #n$0 ")
-    t = F.regexp_replace(t, rf"(#n\d+)\s+({UNITS})(?!\p{{L}})", "$1 #u$2")
+    t = F.regexp_replace(t, rf"(#n\d+)\s+(?:#p)?({UNITS})(?!\p{{L}})", "$1 #u$2")
     t = F.regexp_replace(t, r"(#n\d+)\s*([%€$£°])", "$1 #u_$2 ")
-    t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{Nd}#]+", " "))
-    return F.regexp_replace(t, r"(#p\p{L}*) (?=#p)", "$1")
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{Nd}#]+", " "))
 
 
-def template(marked: Column) -> Column:
-    return F.regexp_replace(marked, "#([pnu])[^ ]*", "#$1")
+def words(marked: Column, form: str) -> Column:
+    """Tokens of a marked text: `valued` (names are words, numbers and units carry their values) and its template `plain`;
+    `named` (names carry theirs too, neighbouring ones join) and its template `slots`."""
+    if form in ("valued", "plain"):
+        t = F.regexp_replace(marked, "#p", "")
+        return F.split(t if form == "valued" else F.regexp_replace(t, "#([nu])[^ ]*", "#$1"), " ")
+    t = F.regexp_replace(marked, r"(#p\p{L}*) (?=#p)", "$1")
+    return F.split(t if form == "named" else F.regexp_replace(t, "#([pnu])[^ ]*", "#$1"), " ")
 
 
-def windows(tokens: Column, keep_sparse: bool) -> Column:
-    """Array of (at, hash) of the runs of WIDTH tokens; without keep_sparse only runs with two literal tokens or more."""
-    one = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, WIDTH)).alias("hash"))
-    found = F.when(F.size(tokens) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(tokens) - WIDTH), one))
-    if keep_sparse:
-        return found
-    literal = lambda w: F.size(F.filter(F.slice(tokens, w["at"] + 1, WIDTH), lambda t: ~t.startswith("#"))) >= 2
-    return F.filter(found, literal)
+def windows(tokens: Column, width, kind: str, make) -> Column:
+    """make(place, hash) of every run of `width` tokens."""
+    one = lambda i: make(i, F.xxhash64(F.lit(kind), F.slice(tokens, i + 1, width)))
+    return F.when(F.size(tokens) >= width, F.transform(F.sequence(F.lit(0), F.size(tokens) - width), one)).otherwise(F.array())
+
+
+def item_marks(items: DataFrame) -> DataFrame:
+    """item_id, item_text, kind, length, windows, hash, item_at: what a document must hold of each item.
+
+    kind `plain` or `slots`: windows of a template with two words or more that are no placeholders. An item without such
+    a window is looked for with its values, by windows of five tokens or, if it is shorter, whole (`valued`); one of one or
+    two tokens only as a text of its own (`alone`).
+    """
+    read = items.select("item_id", F.xxhash64("text").alias("item_text"), marked_text(F.col("text")).alias("m")).where("m <> ''").distinct()
+    cut = read.select("item_id", "item_text", *[words(F.col("m"), f).alias(f) for f in ("plain", "slots", "valued")])
+    n = F.size("plain")
+    place = lambda i, h: F.struct(i.alias("at"), h.alias("hash"))
+
+    def dense(form: str) -> Column:
+        words_in = lambda w: F.size(F.filter(F.slice(F.col(form), w["at"] + 1, WIDTH), lambda t: ~t.startswith("#"))) >= 2
+        return F.filter(windows(F.col(form), F.lit(WIDTH), form, place), words_in)
+
+    found = cut.select("item_id", "item_text", "valued", n.alias("length"), dense("plain").alias("plain"), F.when(F.exists("slots", lambda t: t == "#p"), dense("slots")).alias("slots"))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit("alone"), F.col("valued")).alias("hash")))
+    length = F.col("length")
+    valued = F.when((length > 2) & (F.size("plain") == 0), windows(F.col("valued"), F.least(length, F.lit(WIDTH)), "valued", place))
+    kinds = {"plain": F.col("plain"), "slots": F.col("slots"), "valued": valued, "alone": F.when(length <= 2, whole)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(v, F.array()).alias("marks")) for k, v in kinds.items()]))
+    marks = found.select("item_id", "item_text", "length", each.alias("of")).select(
+        "item_id", "item_text", "length", "of.kind", F.size(F.array_distinct(F.transform("of.marks", lambda w: w["hash"]))).alias("windows"), F.explode("of.marks").alias("w")
+    )
+    return marks.select("item_id", "item_text", "kind", "length", "windows", F.col("w.hash").alias("hash"), F.col("w.at").alias("item_at"))
+
+
+def document_marks(texts: DataFrame, keys: list[str], asked: dict[str, list[int]], make) -> DataFrame:
+    """keys and `w`, make(place, hash) of every window of texts(keys, text) of the kinds and widths that are asked for."""
+    forms = [f for f in ("plain", "slots", "valued") if f in asked or (f == "valued" and "alone" in asked)]
+    cut = texts.select(*keys, marked_text(F.col("text")).alias("m")).select(*keys, *[words(F.col("m"), f).alias(f) for f in forms])
+    found = [windows(F.col(k), F.lit(w), k, make) for k in forms for w in asked.get(k, [])]
+    if "alone" in asked:
+        found.append(F.when(F.size("valued") <= 2, F.array(make(F.lit(0), F.xxhash64(F.lit("alone"), F.col("valued"))))).otherwise(F.array()))
+    return cut.select(*keys, F.explode(F.concat(*found)).alias("w"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, windows, coverage, slots, consistency, kind: a row for each document and item it holds.
 
-    Whole texts of docs(doc_id, text) against benchmark(item_id, text). consistency is the share of the item's slot
-    values that meet one document value throughout; kind is `copy` if each meets itself (or there are none), else
-    `reparameterised`. Null and empty texts and texts of fewer than five tokens hold nothing; items of fewer than five
-    tokens, or of placeholders only, aren't looked for; where several rows share a doc_id or item_id their windows
-    count together; null ids match nothing. All occurrences of a window are judged: those at one alignment (place in the
-    document less place in the item), those at alignments up to DRIFT apart, and the first ones of the whole least text.
-    A row stands for the best of these that passes: copies first, then by windows, consistency and slots. Other columns are ignored. Empty
-    tables give an empty result.
+    Whole texts of docs(doc_id, text) against benchmark(item_id, text), whatever their length. consistency is the share of
+    the item's slot values that meet one document value throughout a passage; kind is `copy` if each meets itself (or
+    there are none), else `reparameterised`. Items whose templates say too little are found as copies only: those without a
+    window of two words, and those of fewer than five tokens; items of one or two tokens only where they are a document's
+    whole text. Null, empty and wordless texts and items hold and are nothing; null ids match nothing; rows that share a
+    doc_id or an item_id are judged text by text, equal ones once. Every place of every window counts: a passage is what
+    stands at one alignment (place in the document less place in the item), at alignments up to DRIFT apart, or within a
+    cell of CELL times the item's length, where a window's first place is taken. A row stands for the best passage that
+    passes, in either template: copies first, then by windows, consistency and slots. Other columns are ignored. Empty tables give an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     docs, items = docs.select("doc_id", "text").where("doc_id is not null"), benchmark.select("item_id", "text").where("item_id is not null")
-    tokens = F.split(template(marked_text(F.col("text"))), " ")
-    parts = scratch.save(
-        "items", items.select("item_id", tokens.alias("tokens")).select("item_id", F.explode(windows(F.col("tokens"), False)).alias("w")).select("item_id", F.col("w.hash").alias("hash"), F.col("w.at").alias("item_at"))
-    )
-    sizes = parts.groupBy("item_id").agg(F.count_distinct("hash").alias("windows"))
-    first = parts.groupBy("hash", "item_id").agg(F.min("item_at").alias("item_at"))
-    ours = docs.select("doc_id", tokens.alias("tokens")).select("doc_id", F.explode(windows(F.col("tokens"), True)).alias("w")).select("doc_id", F.col("w.hash").alias("hash"), F.col("w.at").alias("at"))
-    met = ours.join(small_side(first), "hash").groupBy("doc_id", "item_id", "item_at").agg(F.count("*").alias("times"))
-    held = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("held"))
-    likely = scratch.save("likely", held.join(sizes, "item_id").where(F.col("held") >= COVERAGE * F.col("windows")).select("doc_id", "item_id", "windows"))
+    parts = scratch.save("items", item_marks(items))
+    asked: dict[str, list[int]] = {}
+    for r in parts.select("kind", F.when(F.col("kind") == "valued", F.least("length", F.lit(WIDTH))).otherwise(WIDTH).alias("width")).distinct().collect():
+        asked.setdefault(r.kind, []).append(r.width)
+    of = ["item_id", "item_text", "kind"]
+    first = parts.groupBy("hash", *of).agg(F.min("item_at").alias("item_at"), F.first("windows").alias("windows"))
+    ours = document_marks(docs, ["doc_id"], asked or {"plain": [WIDTH]}, lambda at, h: h).withColumnRenamed("w", "hash")
+    met = ours.join(small_side(first), "hash").groupBy("doc_id", *of, "windows", "item_at").agg(F.count("*").alias("times"))
+    held = met.groupBy("doc_id", *of, "windows").agg(F.count("*").alias("held"))
+    likely = scratch.save("likely", held.where(F.col("held") >= COVERAGE * F.col("windows")).select("doc_id", *of))
 
     # the few documents left are read again, with every place of every window
-    values = F.split(marked_text(F.col("text")), " ")
     text_id = F.xxhash64("text")
-    read = lambda df, key, text: df.join(small_side(likely.select(key).distinct()), key, "left_semi").where("text is not null").select(key, "text", text_id.alias(text)).distinct()
+    read = lambda df, key, name: df.join(small_side(likely.select(key).distinct()), key, "left_semi").where("text is not null").select(key, "text", text_id.alias(name)).distinct()
     doc_rows, item_rows = scratch.save("docs", read(docs, "doc_id", "doc_text")), scratch.save("texts", read(items, "item_id", "item_text"))
-    placed = lambda df, key, text, at, keep: df.select(key, text, tokens.alias("tokens")).select(key, text, F.explode(windows(F.col("tokens"), keep)).alias("w")).select(key, text, F.col("w.hash").alias("hash"), F.col("w.at").alias(at))
-    least = lambda df, key, text, name: df.groupBy(key).agg(F.min_by(text, "text").alias(name))
-    every = (
-        placed(item_rows, "item_id", "item_text", "item_at", False)
-        .join(likely, "item_id")
-        .join(placed(doc_rows, "doc_id", "doc_text", "at", True), ["doc_id", "hash"])
-        .join(first.withColumnRenamed("item_at", "first_at"), ["hash", "item_id"])
-    )
-    shift = F.col("at") - F.col("item_at")
-    sets = [("exact", shift), ("low", F.floor(shift / DRIFT)), ("high", F.floor((shift + DRIFT // 2) / DRIFT))]
-    aligned = every.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("long").alias("at")) for k, v in sets])).alias("set"))
-    whole = (
-        every.where("item_at = first_at")
-        .drop("doc_text", "item_text")
-        .join(least(doc_rows, "doc_id", "doc_text", "doc_text"), "doc_id")
-        .join(least(item_rows, "item_id", "item_text", "item_text"), "item_id")
-        .withColumn("set", F.struct(F.lit("whole").alias("kind"), F.lit(0).cast("long").alias("at")))
-    )
-    judged = ["doc_id", "item_id", "windows", "doc_text", "item_text", "set"]
-    firsts = aligned.unionByName(whole).groupBy(*judged, "hash", "item_at").agg(F.min("at").alias("at"))
-    sets_held = firsts.groupBy(*judged).agg(F.count_distinct("hash").alias("matched"), F.collect_set(F.struct("item_at", "at")).alias("places"))
-    passing = sets_held.where(F.col("matched") >= COVERAGE * F.col("windows"))
-    both = passing.join(doc_rows.select("doc_id", "doc_text", values.alias("ours")), ["doc_id", "doc_text"]).join(
-        item_rows.select("item_id", "item_text", values.alias("theirs")), ["item_id", "item_text"]
-    )
+    ours = document_marks(doc_rows, ["doc_id", "doc_text"], asked or {"plain": [WIDTH]}, lambda at, h: F.struct(at.alias("at"), h.alias("hash")))
+    ours = ours.select("doc_id", "doc_text", "w.at", "w.hash")
+    every = parts.join(likely, of).join(ours, ["doc_id", "hash"])
+    shift, cell = F.col("at") - F.col("item_at"), CELL * F.col("length")
+    sets = [("exact", shift), ("low", F.floor(shift / DRIFT)), ("high", F.floor((shift + DRIFT // 2) / DRIFT)), ("cell", F.floor(F.col("at") / cell)), ("half", F.floor((F.col("at") + cell / 2) / cell))]
+    aligned = every.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("by"), v.cast("long").alias("at")) for k, v in sets])).alias("passage"))
+    judged = ["doc_id", "doc_text", *of, "windows", "passage"]
+    firsts = aligned.groupBy(*judged, "hash", "item_at").agg(F.min("at").alias("at"))
+    held = firsts.groupBy(*judged).agg(F.count_distinct("hash").alias("matched"), F.collect_set(F.struct("item_at", "at")).alias("places"))
+    passing = held.where(F.col("matched") >= COVERAGE * F.col("windows"))
+    cut = lambda df, key, name, form, to: df.select(key, name, marked_text(F.col("text")).alias("m")).select(key, name, words(F.col("m"), form).alias(to))
     along = lambda p: F.transform(
         F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.struct(F.get("theirs", p["item_at"] + j).alias("asked"), F.get("ours", p["at"] + j).alias("found"))
     )
-    pairs = F.array_distinct(F.filter(F.flatten(F.transform("places", along)), lambda p: p["asked"].startswith("#")))
-    asked = F.array_distinct(F.transform(F.col("pairs"), lambda p: p["asked"]))
-    settled = F.filter(asked, lambda a: F.size(F.filter(F.col("pairs"), lambda p: p["asked"] == a)) == 1)
-    same = F.forall(F.col("pairs"), lambda p: p["asked"].eqNullSafe(p["found"]))
-    out = both.withColumn("pairs", pairs).select(
-        "doc_id",
-        "item_id",
-        "matched",
-        "windows",
-        F.size(asked).alias("slots"),
-        F.when(F.size(asked) == 0, 1.0).otherwise(F.size(settled) / F.greatest(F.size(asked), F.lit(1))).alias("consistency"),
-        same.alias("same"),
-    )
-    best = out.where(F.col("consistency") >= CONSISTENCY).groupBy("doc_id", "item_id", "windows").agg(F.max(F.struct("same", "matched", "consistency", "slots")).alias("best"))
+    out = []
+    for kinds, form in ((["slots"], "named"), (["plain", "valued", "alone"], "valued")):
+        both = (
+            passing.where(F.col("kind").isin(kinds))
+            .join(cut(doc_rows, "doc_id", "doc_text", form, "ours"), ["doc_id", "doc_text"])
+            .join(cut(item_rows, "item_id", "item_text", form, "theirs"), ["item_id", "item_text"])
+        )
+        pairs = F.array_distinct(F.filter(F.flatten(F.transform("places", along)), lambda p: p["asked"].startswith("#")))
+        valued = both.select(*judged, "matched", pairs.alias("pairs"))
+        valued = valued.withColumn("asked", F.array_distinct(F.transform("pairs", lambda p: p["asked"])))
+        settled = F.filter("asked", lambda a: F.size(F.filter(F.col("pairs"), lambda p: p["asked"] == a)) == 1)
+        out.append(
+            valued.select(
+                "doc_id",
+                "item_id",
+                "matched",
+                "windows",
+                F.size("asked").alias("slots"),
+                F.when(F.size("asked") == 0, 1.0).otherwise(F.size(settled) / F.greatest(F.size("asked"), F.lit(1))).alias("consistency"),
+                F.forall("pairs", lambda p: p["asked"].eqNullSafe(p["found"])).alias("same"),
+            )
+        )
+    out = out[0].unionByName(out[1])
+    coverage = F.col("matched") / F.col("windows")
+    best = out.where(F.col("consistency") >= CONSISTENCY).groupBy("doc_id", "item_id").agg(F.max(F.struct("same", coverage.alias("coverage"), "matched", "consistency", "slots", "windows")).alias("best"))
     return best.select(
         "doc_id",
         "item_id",
         "best.matched",
-        "windows",
-        (F.col("best.matched") / F.col("windows")).alias("coverage"),
+        "best.windows",
+        "best.coverage",
         "best.slots",
         "best.consistency",
         F.when(F.col("best.same"), "copy").otherwise("reparameterised").alias("kind"),

@@ -22,7 +22,7 @@ def test_copies_and_new_values(spark, documents, rows):
     )
     got = {(r.doc_id, r.item_id): r.kind for r in contamination(docs, bench(spark)).collect()}
     assert got[1, 1] == "copy" and got[2, 1] == "reparameterised" and (4, 1) not in got and (5, 1) not in got
-    assert {k[0] for k in got} <= {1, 2, 3, 7}
+    assert got[7, 1] == "copy" and {k[0] for k in got} <= {1, 2, 3, 7}
     kept = {r.doc_id for r in decontaminated(docs, bench(spark)).collect()}
     assert {4, 5, 6, None} <= kept and not kept & {1, 2}
     assert decontaminated(docs, bench(spark)).columns == docs.columns
@@ -37,6 +37,66 @@ def test_inconsistent_slots(spark, documents):
     assert [(r.doc_id, r.consistency) for r in got.collect()] == [(1, 1.0)]
 
 
+def copies(spark, documents, items, docs):
+    """item found by document, and its kind."""
+    found = contamination(documents(list(enumerate(docs))), bench(spark, list(enumerate(items)))).collect()
+    return {(r.doc_id, r.item_id): r.kind for r in found}
+
+
+def test_capitals_and_what_precedes(spark, documents):
+    france, train = "What is the capital city of France?", "Alice has 12 apples. Alice gives 5 to Bob. How many apples does Alice have left?"
+    docs = [france.lower(), f"Q: {france} A: Paris", f"Question: {france}", france.upper(), "Q: What is the capital city of Peru? A: Lima", train.replace("Alice", "Maria Lopez"), f"so, {train.lower()}", "what is the point of it all"]
+    got = copies(spark, documents, [france, train], docs)
+    assert got == {(0, 0): "copy", (1, 0): "copy", (2, 0): "copy", (3, 0): "copy", (4, 0): "reparameterised", (5, 1): "reparameterised", (6, 1): "copy"}
+
+
+def test_short_items_and_numbers(spark, documents):
+    items = ["Compute 12 + 7 - 3", "Solve for x quickly", "What is 17 times 23?", "12 + 7 - 3 * 4 + 25 - 6 =", "yes", "Paris, France"]
+    docs = ["Now: compute 12 + 7 - 3 and say", "please SOLVE for X quickly.", "Q: What is 17 times 23? A: 391", "see 12 + 7 - 3 * 4 + 25 - 6 = 2", "Yes!", "paris france"]
+    clean = ["compute 12 + 7 - 4", "solve for y quickly", "12 + 7 - 3 * 5 + 25 - 8 = 1", "yes it is", "the town of Paris, France", "1 2 3 4 5 6 7 8"]
+    got = copies(spark, documents, items, docs + clean)
+    assert {k for k in got} == {(k, k) for k in range(6)} and set(got.values()) == {"copy"}
+    assert copies(spark, documents, items, ["What is 18 times 29?"]) == {(0, 2): "reparameterised"}
+
+
+def test_a_broken_variant_in_front(spark, documents):
+    item = "A train leaves Rome at 9 and drives 120 km in 3 hours, then 80 km in 2 hours more. How far is that from Rome?"
+    broken = item.replace("120", "7").replace("3 hours", "5 hours")[:70]
+    whole = item.replace("Rome", "Oslo").replace("120", "240").replace("80", "33")
+    assert copies(spark, documents, [item], [f"{broken}. And so on it went. {whole}", f"{broken} {broken}"]) == {(0, 0): "reparameterised"}
+
+
+def test_all_new_values_against_brute_force(spark, documents, prose):
+    """Items with numbers, names and units asked anew: found in every document that holds one, in no other."""
+    import random
+
+    rng = random.Random(2)
+    names = ["Ada", "Ben", "Cora", "Dan", "Eva", "Finn"]
+
+    def ask(words, who, a, b):
+        return f"{who} {words[:40]} {a} kg of {words[40:80]} and {b} of {words[80:120]} so {who} {words[120:160]}?"
+
+    shapes = [prose(40) for _ in range(8)]
+    items = [ask(w, "Zoe", 12, 99) for w in shapes]
+    docs, want = [], set()
+    for k in range(64):
+        if k % 2:
+            docs.append(f"{prose(30)} {ask(shapes[k % 8], rng.choice(names), rng.randint(100, 900), rng.randint(100, 900))} {prose(30)}")
+            want.add((k, k % 8))
+        else:
+            docs.append(f"{prose(30)} {ask(prose(40), 'Zoe', 12, 99)} {prose(30)}")
+    got = copies(spark, documents, items, docs)
+    assert set(got) == want and set(got.values()) == {"reparameterised"}
+
+
+def test_ties_repeats_and_long_texts(spark, documents, prose):
+    other = "Some quite other item about nothing of the kind, with 17 words or so in it, they say."
+    docs = [(1, ITEM), (1, ITEM), (1, "another text"), (2, f"{prose(60_000)} {other} {ITEM.lower()}"), (3, None)]
+    got = sorted((r.doc_id, r.item_id, r.kind, r.coverage) for r in contamination(documents(docs), bench(spark, [(1, ITEM), (1, other), (1, ITEM), (2, other), (None, ITEM)])).collect())
+    assert got == [(1, 1, "copy", 1.0), (2, 1, "copy", 1.0), (2, 2, "copy", 1.0)]
+    assert [r.doc_id for r in decontaminated(documents(docs), bench(spark)).collect()] == [3]
+
+
 def test_like_exercise_in_front_of_a_copy(spark, documents):
     item = "Then a train travels 120 km in 3 hours so who of them is faster here?"
     front = "For one a train travels 60 km in 7 hours as they say."
