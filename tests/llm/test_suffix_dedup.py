@@ -77,15 +77,44 @@ def test_repeated_rows_in_one_task(spark, documents, prose):
     assert sorted(tuple(r) for r in got) == sorted((i, *want[i]) for i, _ in rows)
 
 
-def test_contexts_that_share_40_hash_bits(spark, documents):
-    line = "A line that many documents hold, at the same place in each of them, with other words followi"
-    rows = [(2 * k + j, line + tail) for k, pair in enumerate([("anjiwawp", "thqadobw"), ("rsjvxuia", "emwkqnps")]) for j, tail in enumerate(pair)]
-    for (_, a), (_, b) in zip(rows[::2], rows[1::2]):
-        a, b = S.runs_of(a.encode()), S.runs_of(b.encode())
-        low = np.uint64((1 << 40) - 1)
-        assert a["key"] == b["key"] and a["ctx"] & low == b["ctx"] & low and a["ctx2"] != b["ctx2"]
-    assert [r.n_removed for r in S.remove_repeats(documents(rows)).collect()] == [0] * 4
-    check(documents(rows).coalesce(1), rows)
+def test_bytes_decide_when_all_hashes_collide(tmp_path, prose, monkeypatch):
+    """Every piece and every context gets one hash; the stages run here, as Python workers would not see the patch."""
+    import pandas as pd
+
+    monkeypatch.setattr(S, "mix", lambda x: x * np.uint64(0))
+    part = prose(25)
+    rows = [(1, f"{prose(10)} {part}"), (2, f"{part} {prose(12)}"), (3, prose(30)), (4, prose(30)), (5, part)]
+    found = pd.concat([pd.concat(S.find_runs(3)(iter([pd.DataFrame([r], columns=["doc_id", "text"])]))) for r in rows])
+    met = [S.meet_runs(g) for _, g in found[found["entries"].notna()].groupby("bucket")]
+    asked = pd.concat([found[found["asked"].notna()][["doc_id", "asked"]], *[m[["doc_id", "asked"]] for m in met]])
+    lists = asked.groupby("doc_id")["asked"].apply(list)
+    cut = pd.concat(S.cut_contexts(2, np.zeros(0, np.int64), 1)(iter([pd.DataFrame([(i, t, lists[i]) for i, t in rows if i in lists], columns=["doc_id", "text", "asked"])])))
+    gone = [S.sort_shard(f"file://{tmp_path}", 1000)(g) for _, g in cut.groupby("shard")]
+    gone = pd.concat([found[found["gone"].notna()][["doc_id", "gone"]], *gone]).groupby("doc_id")["gone"].apply(list)
+    want = brute(rows)
+    for i, text in rows:
+        mask = S.removed_mask(len(text.encode()), gone.get(i))
+        assert (int(mask.sum()), hashlib.sha256(bytes(c for c, m in zip(text.encode(), mask) if not m)).hexdigest()) == (want[i][1], want[i][3])
+    assert want[2][1] > 100 and want[5][1] > 100
+
+
+def test_overfull_shards(spark, documents, corpus, monkeypatch):
+    """Shards far too small for their contexts: all strings are dealt one by one."""
+    line = "A line that many documents hold, at the same place in each, with other words after it "
+    rows = corpus + [(1000 + k, f"{line}{k * 7919} and so on {k * 104729} it goes for {k % 5} times around and around") for k in range(60)]
+    monkeypatch.setattr(S, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(S, "OVERFULL", 0)
+    check(documents(rows).repartition(4), rows)
+
+
+def test_an_id_with_several_texts(spark, documents, prose):
+    a, b, c = sorted(prose(40) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (3, a), (3, a), (4, f"{c} {c}"), (4, None)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in S.remove_repeats(documents(rows)).collect())
+    size = lambda t: len(t.encode())
+    # of 1 the least text, a, takes part; of 4 the only one
+    want = [(1, size(a), 0), (1, size(b), 0), (2, size(b), 0), (3, size(a), size(a)), (3, size(a), size(a)), (4, 0, 0), (4, 2 * size(c) + 1, brute([(4, f"{c} {c}")])[4][1])]
+    assert got == sorted(want)
 
 
 def test_induced_order_against_sorting():
