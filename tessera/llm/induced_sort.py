@@ -1,17 +1,19 @@
 """External induced sorting of the suffixes of many short strings, with common-prefix values.
 
 Suffixes whose first symbol is followed by a smaller rest are of type L, the others of type S; an S suffix after an L
-suffix is a seed. Seeds are ranked by the names of the substrings between them (the reduced string); then two scans
-induce all other suffixes: each suffix that is taken in order puts its predecessor behind those already waiting at the
-predecessor's first symbol. What waits is a priority queue keyed by (symbol, order of arrival): first in, first out at
-each symbol, so tuples of position and common-prefix value move in arrays, and what exceeds memory is spooled to files.
-The common prefix of two neighbours in a queue is one more than the least value scanned between their origins.
+suffix is a seed. The substrings between seeds are named in their order; the string of names is the same problem, a
+third as large, and is sorted by the same induction, and so on until the names tell all apart. Then two scans induce all
+other suffixes: each suffix that is taken in order puts its predecessor behind those already waiting at the predecessor's
+first symbol. What waits, and what the first scan hands to the second, is a priority queue keyed by (symbol, order of
+arrival): first in, first out at each symbol. Its tuples of position and common-prefix value live in files; a stated
+number of them is in memory. The second scan's result is a stream. The common prefix of two neighbours in a queue is one
+more than the least value scanned between their origins. The text, a type a symbol and the names are held in arrays.
 """
 
 from __future__ import annotations
 
-import io
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -19,50 +21,80 @@ CAP = 250  # common-prefix values are kept up to this
 SYMBOLS = 257  # byte + 1; 0 parts the strings
 
 
+class Spool:
+    """At most `limit` tuples in memory over all its queues, the others in files of `folder`, one a spill; without a place
+    everything stays in memory. peak: the most that there were."""
+
+    def __init__(self, limit: int, place=None):
+        self.limit, self.place, self.held, self.peak, self.queues, self.spills = limit, place, 0, 0, [], 0
+
+    def add(self, n: int) -> None:
+        self.held += n
+        self.peak = max(self.peak, self.held)
+        if self.place and self.held > self.limit:
+            for q in self.queues:
+                q.spill()
+
+    @property
+    def chunk(self) -> int:
+        """Tuples of one read."""
+        return max(1, self.limit // 8)
+
+
 class Queues:
-    """First-in-first-out queues of (position, common prefix), a queue a symbol; beyond `limit` tuples the arrays in
-    memory go to one file each. spool: None (memory alone) or (pyarrow file system, folder)."""
+    """First-in-first-out queues of (position, common prefix), a queue a symbol."""
 
-    def __init__(self, limit: int, spool=None):
-        self.parts: list[list] = [[] for _ in range(SYMBOLS)]
-        self.limit, self.spool, self.held = limit, spool, 0
+    def __init__(self, spool: Spool):
+        self.spool = spool
+        self.parts: list[list] = [[] for _ in range(SYMBOLS)]  # arrays, or (file, tuples of the file, first, end)
+        spool.queues.append(self)
 
     def put(self, symbol: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
-        self.parts[symbol].append((positions, prefixes))
-        self.held += len(positions)
-        if self.spool and self.held > self.limit:
-            self._spill()
-
-    def _spill(self) -> None:
-        fs, folder = self.spool
-        for symbol, parts in enumerate(self.parts):
-            live = [p for p in parts if not isinstance(p, str)]
-            if live:
-                out = io.BytesIO()
-                np.save(out, np.concatenate([p[0] for p in live]))
-                np.save(out, np.concatenate([p[1] for p in live]))
-                name = f"{folder}/{uuid.uuid4().hex}"
-                with fs.open_output_stream(name) as f:
-                    f.write(out.getvalue())
-                self.parts[symbol] = [p for p in parts if isinstance(p, str)] + [name]
-        self.held = 0
-
-    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """What waits at a symbol, oldest first: one file's tuples, or all that memory holds."""
-        parts = self.parts[symbol]
-        if not parts:
+        for k in range(0, len(positions), self.spool.chunk):
+            part = positions[k : k + self.spool.chunk], prefixes[k : k + self.spool.chunk]
+            self.parts[symbol].append(part)
+            self.spool.add(len(part[0]))
+
+    def spill(self) -> None:
+        live = [(s, k) for s, parts in enumerate(self.parts) for k, p in enumerate(parts) if len(p) == 2]
+        if not live:
+            return
+        fs, folder = self.spool.place
+        name = f"{folder}/{uuid.uuid4().hex}"
+        n = sum(len(self.parts[s][k][0]) for s, k in live)
+        with fs.open_output_stream(name) as out:
+            for column, kind in ((0, np.int64), (1, np.uint8)):
+                for s, k in live:
+                    out.write(self.parts[s][k][column].astype(kind, copy=False).tobytes())
+        file, at = fs.open_input_file(name), 0
+        for s, k in live:
+            m = len(self.parts[s][k][0])
+            self.parts[s][k] = (file, n, at, at + m)
+            at += m
+        self.spool.held -= n
+        self.spool.spills += 1
+
+    def _load(self, part) -> tuple[np.ndarray, np.ndarray]:
+        if len(part) == 2:
+            self.spool.held -= len(part[0])
+            return part
+        file, n, low, high = part
+        return np.frombuffer(file.read_at(8 * (high - low), 8 * low), np.int64), np.frombuffer(file.read_at(high - low, 8 * n + low), np.uint8)
+
+    def take(self, symbol: int, last: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """The oldest (or the newest) tuples that wait at a symbol, several small parts together."""
+        parts, out, n = self.parts[symbol], [], 0
+        while parts and (not out or n + self._size(parts[-1 if last else 0]) <= self.spool.chunk):
+            out.append(self._load(parts.pop(-1 if last else 0)))
+            n += len(out[-1][0])
+        if not out:
             return None
-        if isinstance(parts[0], str):
-            fs, _ = self.spool
-            name = parts.pop(0)
-            with fs.open_input_stream(name) as f:
-                raw = io.BytesIO(f.read())
-            fs.delete_file(name)
-            return np.load(raw), np.load(raw)
-        self.parts[symbol] = []
-        positions, prefixes = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
-        self.held -= len(positions)
-        return positions, prefixes
+        out = out[::-1] if last else out
+        return out[0] if len(out) == 1 else (np.concatenate([p for p, _ in out]), np.concatenate([v for _, v in out]))
+
+    @staticmethod
+    def _size(part) -> int:
+        return len(part[0]) if len(part) == 2 else part[3] - part[2]
 
 
 class Scan:
@@ -96,7 +128,7 @@ class Scan:
 def types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is of type S; the last symbol, a parting 0, is."""
     n = len(text)
-    step = np.sign(text[1:].astype(np.int32) - text[:-1])
+    step = np.sign(text[1:].astype(np.int64) - text[:-1])
     nearest = np.where(step != 0, np.arange(n - 1), n - 1)
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]  # the next place at which symbols differ
     s = np.ones(n, bool)
@@ -123,16 +155,18 @@ def _tied(rank: np.ndarray) -> np.ndarray:
 
 def names(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Ranks (the places where groups of equals begin) of the substrings from each seed to the next one, by symbols and
-    types, six at a time; only what is still tied and goes on is looked at again."""
-    coded = np.append(text.astype(np.uint64) * np.uint64(2) + s_type, np.zeros(6, np.uint64))
+    types, as many at a time as a word takes; only what is still tied and goes on is looked at again."""
+    bits = int(text.max()).bit_length() + 2
+    width = max(1, 62 // bits)
+    coded = np.append(text.astype(np.uint64) * np.uint64(2) + s_type, np.zeros(width, np.uint64))
     length = np.append(np.diff(seeds) + 1, 1)
 
     def chunk(rows: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros(len(rows), np.uint64)
-        for j in range(6):
+        for j in range(width):
             inside = k + j < length[rows]
             at = np.minimum(seeds[rows] + k + j, len(coded) - 1)
-            out = out << np.uint64(10) | np.where(inside, coded[at] + np.uint64(1), np.uint64(0))
+            out = out << np.uint64(bits) | np.where(inside, coded[at] + np.uint64(1), np.uint64(0))
         return out
 
     every = np.arange(len(seeds))
@@ -140,14 +174,14 @@ def names(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray) -> np.ndarray
     order = np.argsort(key, kind="stable")
     rank = np.empty(len(seeds), np.int64)
     rank[order] = firsts(np.append(True, key[order][1:] != key[order][:-1]))
-    k = 6
+    k = width
     while True:
         tied = _tied(rank)
         rows = np.flatnonzero(tied & np.isin(rank, rank[tied & (length > k)]))
         if not len(rows):
             return rank
         _split(rank, rows, chunk(rows, k))
-        k += 6
+        k += width
 
 
 def _split(rank: np.ndarray, rows: np.ndarray, key: np.ndarray) -> None:
@@ -160,18 +194,65 @@ def _split(rank: np.ndarray, rows: np.ndarray, key: np.ndarray) -> None:
     rank[rows[order]] = r + firsts(part) - firsts(group)
 
 
-def seed_order(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
-    """Seeds in the order of their suffixes as far as `depth` symbols tell: the reduced string of names, its ranks doubled
-    until they cover that depth (a name covers two symbols or more)."""
-    rank, h, n = names(text, s_type, seeds), 1, len(seeds)
-    while 2 * h <= depth:
-        rows = np.flatnonzero(_tied(rank))
-        if not len(rows):
-            break
-        ahead = rows + h
-        _split(rank, rows, np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0))
-        h *= 2
-    return np.argsort(rank, kind="stable")
+def seeds_of(text: np.ndarray, s_type: np.ndarray) -> np.ndarray:
+    seed = s_type.copy()
+    seed[0] = False
+    seed[1:] &= ~s_type[:-1]
+    return np.flatnonzero(seed)
+
+
+def seed_order(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Seeds in the order of their suffixes: by their names, or, while some are equal, by the suffixes of the string of
+    names."""
+    rank = names(text, s_type, seeds)
+    if not _tied(rank).any():
+        return np.argsort(rank)
+    return order_of_names(np.unique(rank, return_inverse=True)[1])
+
+
+def order_of_names(text: np.ndarray) -> np.ndarray:
+    """All suffixes of a string of numbers in order. Where one suffix begins another it comes first, so that a shorter rest
+    counts as smaller; the last symbol of a shard's names, its last parting 0, is followed by nothing."""
+    text = np.append(text + 1, 0)
+    s_type = types(text)
+    seeds = seeds_of(text, s_type)
+    order = seeds[seed_order(text, s_type, seeds)]
+    n = len(text)
+    ends = np.cumsum(np.bincount(text))
+    out = np.full(n, -1)
+    symbols = text[order]
+    behind = np.searchsorted(symbols, symbols, "right") - np.arange(len(order))
+    out[ends[symbols] - behind] = order
+    _induce(out, text, ~s_type, np.append(0, ends[:-1]))
+    out[s_type[out] & (out >= 0)] = -1
+    out[0] = n - 1
+    _induce(out[::-1], text, s_type, n - ends)
+    return out[1:]
+
+
+def _induce(out: np.ndarray, text: np.ndarray, wanted: np.ndarray, heads: np.ndarray) -> None:
+    """Take the suffixes in `out` from left to right and put each predecessor that is wanted at the head of its symbol's
+    places. A block is taken at once as far as nothing in it is put into the block itself."""
+    at, n, width = 0, len(out), 1024
+    while at < n:
+        end = min(n, at + width)
+        p = out[at:end]
+        rows = np.flatnonzero(p > 0)
+        before = p[rows] - 1
+        rows, before = rows[wanted[before]], before[wanted[before]]
+        if len(rows):
+            order = np.argsort(text[before], kind="stable")
+            symbols = text[before][order]
+            target = heads[symbols] + np.arange(len(order)) - firsts(np.append(True, symbols[1:] != symbols[:-1]))
+            low = int(target.min())
+            if low < end:
+                end = low
+                inside = rows[order] < end - at
+                order, symbols, target = order[inside], symbols[inside], target[inside]
+            out[target] = before[order]
+            heads[symbols] = target + 1  # of equal symbols the last one counts
+        width = min(1 << 16, 2 * width) if end - at == width else max(64, width // 2)
+        at = end
 
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -195,62 +276,79 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int)
     return np.minimum(out, depth)
 
 
-def induced_order(strings: list[bytes], depth: int, limit: int = 50_000_000, spool=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, prefixes, starts): the suffixes of the strings, parted by 0 symbols, in the order of their first `depth`
-    symbols; each one's common prefix with its predecessor (exact up to depth); and where each string starts."""
-    joined = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + 1
+def join_strings(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, starts): the strings' symbols, each string closed by a 0, and where each one starts."""
+    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + 1
     sizes = np.array([len(s) + 1 for s in strings])
     starts = np.cumsum(sizes) - sizes
-    joined[starts + sizes - 1] = 0
-    text, n = joined, len(joined)
+    text[starts + sizes - 1] = 0
+    return text, starts
+
+
+def descending(text: np.ndarray, depth: int, spool: Spool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, prefixes) of all suffixes from the largest to the smallest, by their first `depth` symbols at least; a
+    prefix is the length that a suffix has in common with the next smaller one (exact up to depth)."""
     s_type = types(text)
-    seed = s_type.copy()
-    seed[0] = False
-    seed[1:] &= ~s_type[:-1]
-    seeds = np.flatnonzero(seed)
-    order = seeds[seed_order(text, s_type, seeds, depth)]
-    seed_prefix = np.append(0, common_prefixes(text, order[:-1], order[1:], depth)).astype(np.uint8) if len(order) else np.zeros(0, np.uint8)
+    seeds = seeds_of(text, s_type)
+    order = seeds[seed_order(text, s_type, seeds)]
+    waiting, bucket = Queues(spool), np.searchsorted(text[order], np.arange(SYMBOLS + 1))
+    for c in range(SYMBOLS):
+        for low in range(bucket[c], bucket[c + 1], spool.chunk):
+            part = order[low : min(low + spool.chunk, bucket[c + 1])]
+            ahead = order[max(0, low - 1) : low - 1 + len(part)] if low else np.append(part[:1], part[:-1])
+            waiting.put(c, part, common_prefixes(text, ahead, part, depth).astype(np.uint8))
+    del order, seeds
     length = runs(text)
-    bucket = np.searchsorted(text[order], np.arange(SYMBOLS + 1))
 
-    large: list[list] = [[] for _ in range(SYMBOLS)]  # type L, ascending
-    queues = Queues(limit, spool)
+    large, queues = Queues(spool), Queues(spool)  # type L, ascending
     scan = Scan(text, queues)
     wants_l = lambda p: (p > 0) & ~s_type[p - 1]
     for c in range(SYMBOLS):
         last = None
         while (got := queues.take(c)) is not None:
-            large[c].append(got)
             scan.feed(got[0], got[1], wants_l(got[0]))
+            large.put(c, *got)
             last = got[0][-1]
-        lo, hi = bucket[c], bucket[c + 1]
-        if hi > lo:
-            prefixes = seed_prefix[lo:hi].copy()
-            prefixes[0] = 0 if last is None else min(length[last], length[order[lo]])
-            scan.feed(order[lo:hi], prefixes, wants_l(order[lo:hi]))
-
-    positions, values = [], []
-    queues = Queues(limit, spool)
+        first = True
+        while (got := waiting.take(c)) is not None:
+            positions, prefixes = got[0], got[1].copy()
+            if first:
+                prefixes[0] = 0 if last is None else min(length[last], length[positions[0]])
+                first = False
+            scan.feed(positions, prefixes, wants_l(positions))
+
+    queues = Queues(spool)
     scan = Scan(text, queues)
     wants_s = lambda p: (p > 0) & s_type[p - 1]
     # the last symbol's suffix is the first of all and no suffix's predecessor; it waits at its symbol's least place
     for c in range(SYMBOLS - 1, -1, -1):
-        here, last = [], None
-        while (got := queues.take(c)) is not None:
-            here.append(got)
+        last = None
+        while (got := queues.take(c)) is not None:  # a value stands between a suffix and the next larger one
             scan.feed(got[0], got[1], wants_s(got[0]))
+            if last is None:
+                yield got[0][:-1], got[1][1:]
+            else:
+                yield np.append(last, got[0][:-1]), got[1]
             last = got[0][-1]
-        small_p = np.concatenate([p for p, _ in here])[::-1] if here else np.zeros(0, np.int64)
-        small_v = np.concatenate([v for _, v in here])[::-1] if here else np.zeros(0, np.uint8)
-        large_p = np.concatenate([p for p, _ in large[c]]) if large[c] else np.zeros(0, np.int64)
-        large_v = np.concatenate([v for _, v in large[c]]) if large[c] else np.zeros(0, np.uint8)
-        large[c] = []
-        if len(large_p):
-            seam = 0 if last is None else min(length[last], length[large_p[-1]])
-            down = np.append(seam, large_v[:0:-1]).astype(np.uint8)  # descending: each value belongs to the step before it
-            scan.feed(large_p[::-1], down, wants_s(large_p[::-1]))
-        # descending values of S suffixes stand between a suffix and the next larger one; ascending ones before it
-        up = np.append(min(length[small_p[0]], length[large_p[-1]]) if len(small_p) and len(large_p) else 0, small_v[:-1]) if len(small_p) else small_v
-        positions.append(np.concatenate([large_p, small_p]))
-        values.append(np.concatenate([large_v, up]))
-    return np.concatenate(positions[::-1]).astype(np.int64), np.concatenate(values[::-1]).astype(np.uint8), starts
+        seam, first = 0, True
+        while (got := large.take(c, last=True)) is not None:  # a value stands between a suffix and the next smaller one
+            positions, prefixes = got
+            if first:
+                first = False
+                seam = 0 if last is None else min(length[last], length[positions[-1]])
+                if last is not None:
+                    yield np.array([last]), np.array([seam], np.uint8)
+            down = np.append(seam, prefixes[:0:-1]).astype(np.uint8)
+            seam = prefixes[0]
+            scan.feed(positions[::-1], down, wants_s(positions[::-1]))
+            yield positions[::-1], prefixes[::-1]
+        if first and last is not None:
+            yield np.array([last]), np.zeros(1, np.uint8)
+
+
+def induced_order(strings: list[bytes], depth: int, spool: Spool | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, prefixes, starts): the suffixes of the strings, parted by 0 symbols, in ascending order, each one's
+    common prefix with its predecessor, and where each string starts."""
+    text, starts = join_strings(strings)
+    parts = list(descending(text, depth, spool or Spool(1 << 60)))
+    return np.concatenate([p for p, _ in parts])[::-1].astype(np.int64), np.concatenate([v for _, v in parts])[::-1], starts

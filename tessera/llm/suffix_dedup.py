@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, filesystem, mix, shared_dir, small_side
-from tessera.llm.induced_sort import induced_order
+from tessera.llm.induced_sort import Spool, descending, join_strings
 
 LENGTH, PIECE = 100, 32
 WIDE = LENGTH - PIECE + 1  # pieces in a string
@@ -33,6 +33,7 @@ FLUSH_RUNS = 1_500_000
 BUCKET_BYTES, SHARD_BYTES = 16 << 20, 12 << 20
 #: A shard of more than OVERFULL * SHARD_BYTES of contexts takes strings one by one.
 OVERFULL = 4
+#: Suffix tuples that a sort holds in memory; the others are in files of the shared folder.
 QUEUE_TUPLES = 400_000
 
 _RNG = np.random.default_rng(4711)
@@ -343,29 +344,36 @@ def sort_shard(spool_root: str, tuples: int):
 
 
 def order_contexts(doc: np.ndarray, pos: np.ndarray, n: np.ndarray, parts: list[bytes], spool_root: str, tuples: int) -> pd.DataFrame:
-    """doc_id, gone: of the strings of different contexts, those equal to one that starts earlier."""
+    """doc_id, gone: of the strings of different contexts, those equal to one that starts earlier. Neighbours in the
+    order come in chunks; of a group of equals only the earliest so far is carried from one to the next."""
     fs, root = filesystem(spool_root)
     folder = f"{root}/{uuid.uuid4().hex}"
     fs.create_dir(folder, recursive=True)
+    text, starts = join_strings(parts)
+    rank = np.unique(doc, return_inverse=True)[1].astype(np.int64)
+    places, gone = (rank << 32) + pos, []  # the earlier, the smaller
+    carried = np.zeros(0, np.int64)
     try:
-        at, prefix, starts = induced_order(parts, LENGTH, tuples, (fs, folder))
+        for at, prefix in descending(text, LENGTH, Spool(tuples, (fs, folder))):
+            if not len(at):
+                continue
+            which = np.searchsorted(starts, at, "right") - 1
+            offset = at - starts[which]
+            joined = np.append(bool(len(carried)), prefix[:-1] >= LENGTH)
+            group = np.cumsum(~joined)
+            whole = offset < n[which]
+            when, group = np.append(carried, (places[which] + offset)[whole]), np.append(np.zeros(len(carried), np.int64), group[whole])
+            new = _changes(group)
+            least = np.minimum.reduceat(when, np.flatnonzero(new)) if len(when) else when
+            gone.append(when[when != least[np.cumsum(new) - 1]])
+            carried = least[-1:] if prefix[-1] >= LENGTH and whole[-1] else carried[:0]
     finally:
         fs.delete_dir(folder)
-    group = np.cumsum(prefix < LENGTH)
-    which = np.searchsorted(starts, at, "right") - 1
-    offset = at - starts[which]
-    window = offset < n[which]
-    group, which, offset = group[window], which[window], offset[window]
-    rank = np.unique(doc, return_inverse=True)[1].astype(np.int64)
-    when = (rank[which] << 32) + pos[which] + offset
-    heads = np.flatnonzero(_changes(group))
-    least = np.minimum.reduceat(when, heads) if len(heads) else when
-    later = when != least[np.cumsum(_changes(group)) - 1] if len(heads) else np.zeros(0, bool)
-    d, p = doc[which[later]], (pos[which] + offset)[later]
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order]
-    first = np.flatnonzero(_changes(d, p - np.arange(len(p))))
-    ids, blobs = by_doc(d[first], p[first], np.diff(np.append(first, len(d))))
+    when = np.sort(np.concatenate(gone)) if gone else carried[:0]
+    first = _changes(when - np.arange(len(when)))
+    at = np.flatnonzero(first)
+    counts = np.diff(np.append(at, len(when)))
+    ids, blobs = by_doc(doc[np.searchsorted(rank, when[at] >> 32)], when[at] & 0xFFFFFFFF, counts)
     return pd.DataFrame({"doc_id": ids, "gone": blobs})
 
 

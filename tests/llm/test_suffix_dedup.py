@@ -138,6 +138,30 @@ def test_induced_order_against_sorting():
         assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(windows.values()))
 
 
+def test_names_are_sorted_by_the_same_induction():
+    rng = random.Random(4)
+    for _ in range(200):
+        x = np.array([rng.randint(0, rng.choice([0, 1, 2, 50])) for _ in range(rng.randint(1, 60))])
+        assert I.order_of_names(x).tolist() == sorted(range(len(x)), key=lambda i, x=x: x[i:].tolist())
+
+
+def test_a_shard_twenty_times_the_memory(tmp_path, prose):
+    """The tuples in memory stay within the budget and a chunk, most are in files, and the order is that of the suffixes."""
+    from pyarrow.fs import LocalFileSystem
+
+    part = prose(30).encode()
+    strings = [prose(20).encode() + part[k : k + 130] for k in range(120)]
+    n = sum(len(s) + 1 for s in strings)
+    spool = I.Spool(n // 20, (LocalFileSystem(), str(tmp_path)))
+    at, prefix, starts = I.induced_order(strings, 100, spool)
+    assert spool.peak <= n // 20 + spool.chunk and spool.spills > 20
+    plain = I.induced_order(strings, 100)
+    assert (at == plain[0]).all() and (prefix == plain[1]).all() and len(at) == n - 1
+    text = b"\0".join(strings) + b"\0"
+    inside = [p for p in at.tolist() if p - starts[np.searchsorted(starts, p, "right") - 1] + 100 <= len(strings[np.searchsorted(starts, p, "right") - 1])]
+    assert [text[p : p + 100] for p in inside] == sorted(text[p : p + 100] for p in inside)
+
+
 def test_kept_text():
     mask_source = [S.pack(np.array([2]), np.array([1]))]
     assert S.without_repeats("ab" + "x" * 100 + "cd", mask_source) == "abcd" and S.without_repeats(None, None) is None
