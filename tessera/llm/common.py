@@ -105,12 +105,12 @@ def small_side(df: DataFrame) -> DataFrame:
 HOT_SHARE = 10_000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, share: int = HOT_SHARE) -> DataFrame:
     """rows left-joined with keyed, which has one row a key and, as `weight`, its number of rows. Hot keys are joined by
-    broadcast and null keys not at all, so neither gathers in a task. Both sides are read more than once."""
+    broadcast (share of them at most) and null keys not at all, so neither gathers in a task. Both sides are read more than once."""
     total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    hot = keyed.where(F.col(weight) > total / HOT_SHARE)
-    few, rest = F.broadcast(hot), keyed.where(F.col(weight) <= total / HOT_SHARE)
+    hot = keyed.where(F.col(weight) > total / share)
+    few, rest = F.broadcast(hot), keyed.where(F.col(weight) <= total / share)
     out = rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").where(F.col(key).isNotNull()).join(rest, key, "left"))
     return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 

@@ -152,11 +152,12 @@ class Forest:
 
 def in_blocks(members: DataFrame, key: str, row: str, held: DataFrame, block: int) -> DataFrame:
     """members with columns i, j, side: a copy for each task (key, i <= j) that needs the row. held: key and its number
-    of members. Rows are dealt to blocks by hash, so no task sorts or counts a whole key."""
+    of members; others are left out. Rows are dealt to blocks by hash, so no task sorts or counts a whole key."""
     n = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64(row), F.col("n")).cast("int")
     return (
-        members.join(held.hint("merge"), key)
+        join_hot(members, held, key, "members")
+        .where("members is not null")
         .withColumn("n", n)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -316,11 +317,11 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         ),
     )
     placed = classes.select("rep", F.explode("bands").alias("band"))
-    held = placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    held = scratch.save("held", placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
     dealt = in_blocks(placed, "band", "rep", held, BUCKET_BLOCK).join(classes.select("rep", "values").hint("merge"), "rep")
     likely = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInPandas(likely_links, "a long, b long")
     groups = scratch.save("groups", components(likely, scratch, "likely"))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
+    sizes = scratch.save("sizes", groups.groupBy("component").agg(F.count("*").alias("members")))
     members = in_blocks(groups.withColumnRenamed("node", "rep"), "component", "rep", sizes, GROUP_BLOCK)
     with_text = (
         docs.join(small_side(groups.select(F.col("node").alias("doc_id"))), "doc_id")
