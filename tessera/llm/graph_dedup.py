@@ -1,10 +1,12 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Cluster shards overlap: each vector goes to its OVERLAP nearest centroids. In each shard every vector's nearest
-candidates are robust-pruned to a short adjacency list; the lists of a vector from all its shards are united. Then each
-vector is a query: a greedy beam search from the shard's medoid, then an expansion through every vector found in range.
-Pairs found are verified in double precision. A sample of queries is compared with brute force over all vectors, and the
-overlap is widened where recall falls short. Shards too large for a task are cut into blocks, a task taking two of them.
+Cluster shards overlap: each vector goes to its OVERLAP nearest centroids, and a cluster larger than SPLIT is clustered
+again, until shards have a fixed size; only a cluster whose members are mostly all linked to each other stays whole and is
+cut into blocks, a task taking two of them, for there every pair counts. In each shard every vector's nearest candidates
+are robust-pruned to a short adjacency list; the lists of a vector from all its shards are united. Then each vector is a
+query: a greedy beam search from the shard's medoid, then an expansion through every vector found in range. Pairs found
+are verified in double precision. Queries, half of them with links, are compared with brute force over all vectors; the
+overlap is widened where recall falls short, and all blocks are compared where that doesn't help.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, join_hot, small_side
 from tessera.llm.components import components
 from tessera.llm.ngram_join import Forest, each_group, in_blocks
 
@@ -25,8 +28,12 @@ THRESHOLD = 0.9
 #: Centroids are fitted on at most SAMPLE vectors and SAMPLE_FLOATS numbers, those whose hashed vec_ids are smallest.
 SAMPLE, SAMPLE_FLOATS, MOST_CLUSTERS, PER_CLUSTER, ROUNDS = 20_000, 4_000_000, 4096, 400, 8
 OVERLAP, BLOCK = 3, 1024
+#: A cluster of more than SPLIT members is clustered again into at most FAN parts, LEVELS times at most, on some SUBSAMPLE
+#: of them, unless more than DENSE of the sampled pairs are links. A member goes to its WIDE nearest parts.
+SPLIT, FAN, LEVELS, SUBSAMPLE, DENSE, WIDE = 1024, 64, 8, 2000, 0.5, 2
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 32
-AUDIT, RECALL, WIDEST = 256, 0.97, 12
+#: The overlap grows while recall is below RECALL and at most to WIDEST; below LEAST_RECALL all pairs are compared.
+AUDIT, RECALL, WIDEST, LEAST_RECALL = 256, 0.97, 12, 0.9
 
 
 def usable(column: str = "embedding"):
@@ -202,17 +209,68 @@ def search(threshold: float):
     return run
 
 
+def split_large(placed: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """placed(rep, copies, vector, cluster) with large clusters clustered again; a vector then is in more of them."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        x = _vectors(rows)
+        linked = (x @ x.T >= threshold).sum() - len(x)
+        centroids = None
+        if linked <= DENSE * len(x) * (len(x) - 1):
+            centroids = fit_centroids(x, max(2, min(FAN, len(x), math.ceil(rows["members"].iloc[0] / PER_CLUSTER)))).tobytes()
+        return pd.DataFrame({"cluster": rows["cluster"][:1], "members": rows["members"][:1], "centroids": [centroids]})
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for cluster, part in b.groupby("cluster"):
+                x = _vectors(part)
+                c = np.frombuffer(part["centroids"].iloc[0], float).reshape(-1, x.shape[1])
+                k = min(WIDE, len(c))
+                near = np.argpartition(-(x @ c.T), k - 1, 1)[:, :k]
+                own = np.array([xxhash.xxh3_64_intdigest(f"{cluster}/{j}") >> 1 for j in range(len(c))], np.int64)
+                rows = np.repeat(np.arange(len(x)), k)
+                yield part.iloc[rows][["rep", "copies", "vector"]].assign(cluster=own[near.ravel()])
+
+    done = None
+    for level in range(LEVELS):
+        held = scratch.save(f"{name}-sizes-{level}", placed.groupBy("cluster").agg(F.count("*").alias("members")))
+        large = held.where(F.col("members") > SPLIT)
+        if large.isEmpty():
+            break
+        sizes = join_hot(placed, held, "cluster", "members")
+        drawn = F.pmod(F.xxhash64("rep", "cluster"), F.lit(1 << 30)) < F.lit(float(SUBSAMPLE << 30)) / F.col("members")
+        fitted = sizes.where((F.col("members") > SPLIT) & drawn).groupBy("cluster").applyInPandas(fit, "cluster long, members long, centroids binary")
+        fitted = scratch.save(f"{name}-fitted-{level}", fitted)
+        known = join_hot(placed, fitted, "cluster", "members", 1000)
+        known = scratch.save(f"{name}-known-{level}", known)
+        whole = known.where("centroids is null").select("rep", "copies", "vector", "cluster")
+        done = whole if done is None else done.unionByName(whole)
+        again = known.where("centroids is not null").select("rep", "copies", "vector", "cluster", "centroids")
+        placed = scratch.save(f"{name}-{level}", again.mapInPandas(deal, "rep long, copies long, vector binary, cluster long").distinct())
+    return placed if done is None else done.unionByName(placed)
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept, audit_recall: a row for each row of embeddings(vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept; so do rows
     without a vec_id. Vectors of different lengths don't link. Equal vectors are one vector for the search, and count
-    as often as they occur. Other columns, labels included, are ignored. An empty table gives an empty result.
+    as often as they occur, repeated rows included. Of a vec_id with several vectors the least takes part; rows with another one link with
+    nothing. Other columns, labels included, are ignored. audit_recall is the mean share of links found over the audited
+    vectors that have any, null where none has. An empty table gives an empty result.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "graph")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable(), F.col("embedding").cast("array<double>")).alias("embedding"))
-    classes = scratch.save("classes", rows.where("embedding is not null and vec_id is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    rows = rows.withColumn("embedding", F.when(F.col("vec_id").isNotNull(), F.col("embedding")))
+    several = scratch.save("several", rows.where("embedding is not null").groupBy("vec_id").count().where("count > 1").select("vec_id"))
+    if not several.isEmpty():
+        some = small_side(several)
+        least = rows.join(some, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("one"))
+        other = rows.join(some, "vec_id", "left_semi").join(least, "vec_id").withColumn("embedding", F.when(F.col("embedding") == F.col("one"), F.col("embedding"))).drop("one")
+        rows = rows.join(some, "vec_id", "left_anti").unionByName(other)
+    rows = scratch.save("rows", rows)
+    classes = scratch.save("classes", rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     lengths = {r.d: r.n for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
     centroids, first = {}, 0
     for d, n in sorted(lengths.items()):
@@ -222,26 +280,33 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
         centroids[d] = first, fit_centroids(x, max(1, min(MOST_CLUSTERS, math.ceil(n / PER_CLUSTER), len(x))))
         first += len(centroids[d][1])
 
-    def deal(overlap: int):
+    def deal(overlap: int | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for d, part in b.groupby(b["embedding"].map(len)):
                     x = unit(part["embedding"])
                     base, c = centroids.get(d, (-d, np.zeros((1, d))))  # a length too rare to be listed is a cluster of its own
-                    k = min(overlap, len(c))
-                    homes = base + np.sort(np.argpartition(-(x @ c.T), k - 1, 1)[:, :k], 1)
-                    yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "vector": [v.tobytes() for v in x], "homes": list(homes)})
+                    if overlap is None:
+                        base, c = -d, np.zeros((1, d))
+                    k = min(overlap or 1, len(c))
+                    homes = base + np.argpartition(-(x @ c.T), k - 1, 1)[:, :k]
+                    rows = np.repeat(np.arange(len(x)), k)
+                    vectors = np.array([v.tobytes() for v in x], object)
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows], "copies": part["copies"].to_numpy()[rows], "vector": vectors[rows], "cluster": homes.ravel()})
 
         return run
 
-    def link(overlap: int) -> DataFrame:
-        dealt = scratch.save(f"dealt-{overlap}", classes.select("rep", "copies", "embedding").mapInPandas(deal(overlap), "rep long, copies long, vector binary, homes array<long>"))
-        placed = dealt.select("*", F.explode("homes").alias("cluster"))
-        held = placed.groupBy("cluster").agg(F.count("*").alias("members"))
+    def link(overlap: int | None) -> DataFrame:
+        """Links found with so many clusters a vector; None: with all vectors of a length in one cluster, block by block."""
+        placed = scratch.save(f"dealt-{overlap}", classes.select("rep", "copies", "embedding").mapInPandas(deal(overlap), "rep long, copies long, vector binary, cluster long"))
+        if overlap is not None:
+            placed = scratch.save(f"placed-{overlap}", split_large(placed, threshold, scratch, f"split-{overlap}"))
+        held = scratch.save(f"held-{overlap}", placed.groupBy("cluster").agg(F.count("*").alias("members")))
         grouped = lambda df: df.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
-        lists = grouped(in_blocks(placed.drop("homes", "copies"), "cluster", "rep", held, BLOCK)).mapInPandas(build, "rep long, near array<long>")
+        lists = grouped(in_blocks(placed.drop("copies"), "cluster", "rep", held, BLOCK)).mapInPandas(build, "rep long, near array<long>")
         united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        tasks = grouped(in_blocks(placed.join(united, "rep"), "cluster", "rep", held, BLOCK))
+        homes = placed.groupBy("rep").agg(F.collect_set("cluster").alias("homes"))
+        tasks = grouped(in_blocks(placed.join(united.join(homes, "rep"), "rep"), "cluster", "rep", held, BLOCK))
         return scratch.save(f"found-{overlap}", tasks.mapInPandas(search(threshold), "rep long, links long, root long"))
 
     def true_links(sample: pd.DataFrame):
@@ -257,30 +322,36 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
 
         return run
 
-    chosen = classes.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(AUDIT).select("rep", "embedding").toPandas()
-    truth = classes.mapInPandas(true_links(chosen), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("truth")) if len(chosen) else None
-    overlap, recall = OVERLAP, 1.0
+    def audit(counts: DataFrame) -> float | None:
+        """Half of the queries are any vectors, half some that were found to have links: each one's share of its links."""
+        order = F.xxhash64("rep", F.lit(1)), "rep"
+        any_ = classes.select("rep").orderBy(*order).limit(AUDIT // 2)
+        linked = counts.where("links > 0").select("rep").orderBy(*order).limit(AUDIT // 2)
+        chosen = classes.select("rep", "embedding").join(F.broadcast(any_.union(linked).distinct()), "rep").toPandas()
+        if not len(chosen):
+            return None
+        truth = classes.mapInPandas(true_links(chosen), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("truth")).where("truth > 0")
+        share = F.least(F.coalesce("links", F.lit(0)), "truth") / F.col("truth")
+        return truth.join(counts, "rep", "left").agg(F.avg(share)).first()[0]
+
+    overlap: int | None = OVERLAP
     while True:
         found = link(overlap)
-        if truth is None:
-            break
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        sums = truth.join(counts, "rep").agg(F.sum(F.least("links", "truth")), F.sum("truth")).first()
-        recall = sums[0] / sums[1] if sums[1] else 1.0
-        if recall >= RECALL or overlap >= WIDEST:
+        recall = audit(counts)
+        if recall is None or recall >= RECALL or overlap is None or (overlap >= WIDEST and recall >= LEAST_RECALL):
             break
-        overlap *= 2
+        overlap = 2 * overlap if overlap < WIDEST else None
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch, "links")
     result = (
-        classes.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
+        classes.join(counts, "rep", "left")
         .join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("embedding", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        .select("embedding", "copies", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
-    keyed = rows.withColumn("embedding", F.when(F.col("vec_id").isNotNull(), F.col("embedding")))
-    return keyed.join(result, "embedding", "left").select(
+    return join_hot(rows, scratch.save("result", result), "embedding", "copies").select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"),
-        F.lit(float(recall)).alias("audit_recall"),
+        F.lit(recall).cast("double").alias("audit_recall"),
     )

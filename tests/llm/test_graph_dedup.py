@@ -58,6 +58,45 @@ def test_many_clusters_and_blocks(spark, vectors, monkeypatch):
     check(G.near_duplicates(frame(spark, vectors)), brute(vectors))
 
 
+def test_clusters_within_clusters(spark, vectors, monkeypatch):
+    monkeypatch.setattr(G, "MOST_CLUSTERS", 2)
+    monkeypatch.setattr(G, "PER_CLUSTER", 20)
+    monkeypatch.setattr(G, "SPLIT", 60)
+    check(G.near_duplicates(frame(spark, vectors)), brute(vectors))
+
+
+def test_six_thousand_vectors(spark, tmp_path):
+    """Groups of four among single vectors: the recall over all links, and that the audit reports about the same."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(1500, 32))
+    x = (np.repeat(centres, 4, 0) + rng.normal(size=(6000, 32)) * 0.2).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(1) - 1
+    got = G.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas().sort_values("vec_id")
+    found = got["n_links"].to_numpy()
+    assert true.sum() > 10_000 and (found <= true).all() and found.sum() / true.sum() >= 0.99
+    assert got["audit_recall"].iloc[0] >= 0.97
+
+
+def test_exact_where_recall_is_low(spark, vectors, monkeypatch):
+    monkeypatch.setattr(G, "WIDEST", 1)
+    monkeypatch.setattr(G, "RECALL", 1.1)
+    monkeypatch.setattr(G, "LEAST_RECALL", 1.1)
+    monkeypatch.setattr(G, "PER_CLUSTER", 10)
+    monkeypatch.setattr(G, "BLOCK", 50)
+    check(G.near_duplicates(frame(spark, vectors)), brute(vectors))
+
+
+def test_no_links_and_several_vectors_of_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((str(r.vec_id), r.n_links, r.component_id) for r in G.near_duplicates(df).collect())
+    # of 3 the vector (0, 1) takes part, beside both rows of 2
+    assert got == [("1", 0, 1), ("2", 2, 2), ("2", 2, 2), ("3", 0, 3), ("3", 2, 2), ("None", 0, None)]
+    alone = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {r.audit_recall for r in G.near_duplicates(alone).collect()} == {None}
+
+
 def test_one_dense_group(spark, monkeypatch):
     monkeypatch.setattr(G, "BLOCK", 40)
     rng = np.random.default_rng(2)
