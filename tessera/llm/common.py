@@ -6,6 +6,8 @@ import io
 import re
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -22,15 +24,25 @@ WORD = re.compile(r"\w+")
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": (1000, "10000"), "spark.sql.parquet.columnarReaderBatchSize": (512, "4096")}
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Few rows in a batch while a job runs, unless the session has numbers of its own; afterwards the session is as it was."""
+    before = {key: spark.conf.get(key) for key, (_, default) in BATCHES.items() if spark.conf.get(key) == default}
+    for key in before:
+        spark.conf.set(key, BATCHES[key][0])
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make a session fit for Python stages: few texts in a batch, unless the session has its own number, and this
-    package on the workers' path, shipped once an application through the shared folder."""
-    for key, (ours, default) in BATCHES.items():
-        if spark.conf.get(key) == default:
-            spark.conf.set(key, ours)
+    """Make a session fit for Python stages: this package on the workers' path, shipped once an application through the
+    shared folder."""
     if spark.sparkContext.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
         packed = io.BytesIO()
@@ -52,9 +64,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one under the warehouse, and
+    only if all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_scratch"
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -64,14 +79,24 @@ def shared_dir(spark: SparkSession) -> str:
 _folders: list[str] = []
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove the scratch tables of this process; DataFrames that read them can't be run any more."""
-    while _folders:
+def clear_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Remove the scratch tables of this process, or those made since there were so many; DataFrames that read them can't be
+    run any more."""
+    while len(_folders) > since:
         fs, folder = filesystem(_folders.pop())
         if fs.get_file_info(folder).type != pafs.FileType.NotFound:
             fs.delete_dir(folder)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, written to a scratch table; what scratch tables it needed on the way are removed."""
+    out = Scratch(spark, name)
+    since = len(_folders)
+    df = out.save("result", make())
+    clear_scratch(spark, since)
+    return df
+
+
 class Scratch:
     """Tables written to the shared folder, so that no later stage depends on one executor's disk."""
 
@@ -83,7 +108,8 @@ class Scratch:
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

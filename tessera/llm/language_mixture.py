@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, prepare, small_side
+from tessera.llm.common import Scratch, prepare, small_batches, small_side
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -110,7 +110,8 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     prepare(docs.sparkSession)
-    return Model(gram_counts(docs).toPandas())
+    with small_batches(docs.sparkSession):
+        return Model(gram_counts(docs).toPandas())
 
 
 def em(like: np.ndarray, sizes: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

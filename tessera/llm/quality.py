@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, small_batches
 from tessera.llm.language_mixture import fold
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -108,7 +108,9 @@ def word_table(docs: DataFrame) -> np.ndarray:
         if left <= 1:
             break
     table = np.zeros((SLICES, slices * DIMS))
-    for r in sums.collect():  # SLICES rows of fixed size
+    with small_batches(docs.sparkSession):
+        merged = sums.collect()  # SLICES rows of fixed size
+    for r in merged:
         table[r.slice] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.sums)), np.int64)
     return table.reshape(WORDS, DIMS)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import curriculum, decontaminate, graph_dedup, language_mixture, lpt_sharding, ngram_join, pii, quality, suffix_dedup, token_files
+from tessera.llm.common import settled
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,19 +60,14 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.identify(_documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "proportions")
 
 
+def _settled(name: str, query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: settled(spark, name, lambda: query(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_decontaminate": op1_decontaminate,
-        "op2_token_files": op2_token_files,
-        "op3_quality": op3_quality,
-        "op4_graph_dedup": op4_graph_dedup,
-        "op5_suffix_dedup": op5_suffix_dedup,
-        "op6_ngram_join": op6_ngram_join,
-        "op7_lpt_sharding": op7_lpt_sharding,
-        "op8_curriculum_mix": op8_curriculum_mix,
-        "op9_pii": op9_pii,
-        "op10_language_mixture": op10_language_mixture,
-    }
+    """The whole result of each is written to the shared folder, and the session's settings stay as they were."""
+    every = [op1_decontaminate, op2_token_files, op3_quality, op4_graph_dedup, op5_suffix_dedup, op6_ngram_join, op7_lpt_sharding, op8_curriculum_mix, op9_pii, op10_language_mixture]
+    return {q.__name__: _settled(q.__name__, q) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:

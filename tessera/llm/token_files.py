@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filesystem, prepare, shared_dir
+from tessera.llm.common import filesystem, prepare, shared_dir, small_batches
 
 MAGIC = b"TSRTOK01"
 FOOTER = struct.Struct("<QQQQI4s")
@@ -323,7 +323,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
             agrees = encoder.agrees([t[:PIECE] for t in texts[:COMPARED] if t])
             yield pd.DataFrame({"piece": [x[: 4 * PIECE] for x in encoder.ids(texts)], "size": [len(t or "") for t in texts], "agrees": agrees})
 
-    sample = first.mapInPandas(pieces, "piece binary, size long, agrees boolean").collect()
+    with small_batches(spark):
+        sample = first.mapInPandas(pieces, "piece binary, size long, agrees boolean").collect()
     chunked = all(r.agrees for r in sample)
     mean = sum(r["size"] for r in sample) / len(sample) if sample else 0
     shards = max(1, math.ceil(mean * ids.count() / SHARD_CHARS))
@@ -361,7 +362,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
 
     encoded = docs.mapInPandas(encode, "shard int, doc_id long, tokens long, frame binary")
     ordered = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
-    written = ordered.mapInPandas(write, "shard int, docs long, tokens long").collect()
+    with small_batches(spark):
+        written = ordered.mapInPandas(write, "shard int, docs long, tokens long").collect()
     return folder, sorted((r.shard, r.docs, r.tokens) for r in written)
 
 
