@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import curriculum, decontaminate, language_mixture, ngram_join, token_files
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, settled
 
 END_ID = 2
 
@@ -53,8 +53,8 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "stages")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -63,3 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if k:
                 scratch.drop(STAGES[k - 1][0])
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what they wrote on the way is removed, but for the token files."""
+    return settled(spark, "pipeline", lambda: _stages(spark, sf_dir))
