@@ -11,6 +11,34 @@ from tessera.errors import BindError
 from tessera.types import DECLARED
 
 
+@dataclass(frozen=True)
+class Part:
+    """Rows that were appended together, their number (None: not counted) and the folder that holds them, if one does."""
+
+    rows: DataFrame
+    count: int | None
+    path: str | None = None
+
+
+@dataclass(frozen=True)
+class Parts:
+    """What a table's rows are made of. It holds for `whole` alone: rows that were changed otherwise are one new part."""
+
+    whole: DataFrame
+    each: tuple[Part, ...]
+
+
+def parts_of(table: NodeTable | RelTable) -> tuple[Part, ...]:
+    return table.parts.each if table.parts and table.parts.whole is table.rows else (Part(table.rows, None),)
+
+
+def of_parts(each: tuple[Part, ...]) -> tuple[DataFrame, Parts]:
+    whole = each[0].rows
+    for p in each[1:]:
+        whole = whole.unionByName(p.rows)
+    return whole, Parts(whole, each)
+
+
 @dataclass(frozen=True)
 class NodeTable:
     """rows: _id (the node's offset) and the columns. serial: counters of SERIAL columns. next_id: the next free offset."""
@@ -22,6 +50,7 @@ class NodeTable:
     rows: DataFrame
     next_id: int | None = 0
     serial: dict[str, int] = field(default_factory=dict)
+    parts: Parts | None = field(default=None, compare=False)
     kind = "NODE"
 
 
@@ -36,15 +65,18 @@ class RelTable:
     columns: dict[str, T.DataType]
     rows: DataFrame
     next_id: int | None = 0
+    parts: Parts | None = field(default=None, compare=False)
     kind = "REL"
 
 
 @dataclass(frozen=True)
 class Catalog:
-    """An immutable version of all tables; names are unique across both kinds. Writes make another version."""
+    """An immutable version of all tables; names are unique across both kinds. Writes make another version. applied: the last
+    batch of each stream that is in the tables."""
 
     tables: dict[str, NodeTable | RelTable] = field(default_factory=dict)
     next_table: int = 0
+    applied: dict[str, int] = field(default_factory=dict)
 
     def put(self, table: NodeTable | RelTable) -> Catalog:
         return replace(self, tables={**self.tables, table.name: table}, next_table=max(self.next_table, table.id + 1))

@@ -37,21 +37,21 @@ def copurchased(t) -> DataFrame:
 
 def star_graph(spark: SparkSession, sf_dir: str) -> GraphSession:
     """Every node and relationship table, lazily: a query reads the files of those it names. The tables' plans are made
-    once a folder and application; each caller gets a session of its own over them."""
+    once a folder and Spark session; each caller gets a graph session of its own over them."""
     g = GraphSession(spark)
-    g.catalog = _catalog(spark.sparkContext.applicationId, sf_dir, spark)
+    g.catalog = _catalog((spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID()), sf_dir, spark)
     return g
 
 
-_made: dict[tuple[str, str], Catalog] = {}
+_made: dict[tuple[tuple[str, str], str], Catalog] = {}
 
 
-def _catalog(application: str, sf_dir: str, spark: SparkSession) -> Catalog:
-    if (application, sf_dir) not in _made:
-        for old in [k for k in _made if k[0] != application]:
+def _catalog(session: tuple[str, str], sf_dir: str, spark: SparkSession) -> Catalog:
+    if (session, sf_dir) not in _made:
+        for old in [k for k in _made if k[0][0] != session[0]]:
             del _made[old]
-        _made[application, sf_dir] = _registered(spark, sf_dir).catalog
-    return _made[application, sf_dir]
+        _made[session, sf_dir] = _registered(spark, sf_dir).catalog
+    return _made[session, sf_dir]
 
 
 def _registered(spark: SparkSession, sf_dir: str) -> GraphSession:

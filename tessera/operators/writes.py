@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.catalog import Catalog, NodeTable, RelTable, declared
+from tessera.catalog import Catalog, NodeTable, Part, RelTable, declared, of_parts, parts_of
 from tessera.cypher import ast as A
 from tessera.errors import BindError, ConstraintError
 from tessera.functions.scalar import Typed
@@ -19,6 +19,9 @@ from tessera.sources import csv_io
 from tessera.types import is_null, is_number
 
 
+ROWS_OF_A_FILE = 1_000_000
+
+
 def fitted(x: Typed, t: T.DataType, what: str) -> Column:
     """The value as the column's type; integers become doubles, anything else must fit."""
     if x.type == t or is_null(x.type) or (isinstance(t, T.DoubleType) and is_number(x.type)):
@@ -42,6 +45,19 @@ def first_free(table: NodeTable | RelTable) -> int:
     return 0 if top is None else top + 1
 
 
+def appended(table: NodeTable | RelTable, new: DataFrame, count: int) -> NodeTable | RelTable:
+    """The table with one more part. A part is merged with the one before it while that is no larger, so a row is copied as
+    often as the number of appends has digits, and a table of many appends has few parts."""
+    files = lambda n: max(1, -(-n // ROWS_OF_A_FILE))
+    each = [*parts_of(table), Part(cut(new.coalesce(files(count))), count)]
+    while len(each) > 1 and each[-2].count is not None and each[-2].count <= each[-1].count:
+        last, before = each.pop(), each.pop()
+        both = before.count + last.count
+        each.append(Part(cut(before.rows.unionByName(last.rows).coalesce(files(both))), both))
+    rows, parts = of_parts(tuple(p for p in each if p.count != 0) or tuple(each[:1]))
+    return replace(table, rows=rows, parts=parts)
+
+
 def add_nodes(table: NodeTable, new: DataFrame) -> tuple[NodeTable, DataFrame]:
     """The table with new rows (its columns), and those rows with their _id. SERIAL columns that are wholly absent fill
     themselves from their counters."""
@@ -57,16 +73,17 @@ def add_nodes(table: NodeTable, new: DataFrame) -> tuple[NodeTable, DataFrame]:
             numbered = numbered.withColumn(c, F.lit(None).cast(t))
     numbered = cut(numbered.select("_id", *[col(c) for c in table.columns]))
     check_keys(table.key, numbered, table.rows)
-    return replace(table, rows=cut(table.rows.unionByName(numbered)), next_id=after, serial=serial), numbered
+    return replace(appended(table, numbered, after - first), next_id=after, serial=serial), numbered
 
 
 def add_rels(table: RelTable, new: DataFrame) -> RelTable:
-    numbered, after = with_ordinals(new, "_rid", first_free(table))
+    first = first_free(table)
+    numbered, after = with_ordinals(new, "_rid", first)
     for c, t in table.columns.items():
         if c not in numbered.columns:
             numbered = numbered.withColumn(c, F.lit(None).cast(t))
     numbered = numbered.select("_rid", "_src", "_dst", *[col(c) for c in table.columns])
-    return replace(table, rows=cut(table.rows.unionByName(numbered)), next_id=after)
+    return replace(appended(table, numbered, after - first), next_id=after)
 
 
 class Writer:

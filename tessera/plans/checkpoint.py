@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder: the one the session names, else one under the warehouse."""
+    """df written to the checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where it names none, one under the warehouse, and only if
+    all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_checkpoints").rstrip("/")
+
+
 def with_ordinals(df: DataFrame, name: str, start: int = 0) -> tuple[DataFrame, int]:
     """df with dense ordinals in its row order, and the first free one. Only a count a partition reaches the driver."""
     marked = cut(df.withColumn("#m", F.monotonically_increasing_id()))

@@ -20,7 +20,7 @@ from tessera.plans.expr import constant
 from tessera.plans.lower import Lowering
 from tessera.plans.scope import walk
 from tessera.sources import csv_io
-from tessera.sources.store import Store
+from tessera.sources.store import KEPT_SECONDS, Store
 from tessera.types import normalized
 
 _WRITES = (A.Create, A.SetProps, A.Delete, A.Merge)
@@ -108,10 +108,29 @@ class GraphSession:
     def table_schema(self, name: str) -> dict[str, T.DataType]:
         return dict(self.catalog.get(name).columns)
 
-    def checkpoint(self) -> None:
-        """Drop files of old versions."""
+    def checkpoint(self, kept_seconds: float = KEPT_SECONDS) -> None:
+        """Drop files of versions that were replaced so long ago."""
         if self.store:
-            self.store.checkpoint(self.catalog)
+            self.store.checkpoint(kept_seconds)
+
+    def refresh(self) -> None:
+        """Take over the folder's newest version."""
+        if self.store and not self.store.current():
+            self.catalog = self.store.load()
+
+    def commit(self, change: Callable[[Catalog], Catalog], wait: bool = False) -> None:
+        """Apply change to the newest version as its only writer; wait for another one of this session, or fail."""
+        if self.read_only:
+            raise TransactionError("the session is read-only")
+        if not self._writing.acquire(blocking=wait):
+            raise TransactionError("another write transaction is active")
+        try:
+            self.refresh()
+            before = self.catalog
+            after = change(before)
+            self.catalog = self.store.publish(before, after) if self.store and after is not before else after
+        finally:
+            self._writing.release()
 
     def _run(self, s: Any, params: dict[str, Any]) -> DataFrame:
         if isinstance(s, A.CallProcedure):
@@ -142,26 +161,22 @@ class GraphSession:
 
     def _write(self, s: Any, params: dict[str, Any]) -> DataFrame:
         """One writer at a time; readers keep the version they began with. A failed write leaves the old version."""
-        if self.read_only:
-            raise TransactionError("the session is read-only")
-        if not self._writing.acquire(blocking=False):
-            raise TransactionError("another write transaction is active")
-        try:
-            before, out = self.catalog, self._empty()
+        out = [self._empty()]
+
+        def change(before: Catalog) -> Catalog:
             if isinstance(s, A.CopyFrom):
-                after = writes.copy_from(before, self.spark, s)
-            elif isinstance(s, A.Query):
+                return writes.copy_from(before, self.spark, s)
+            if isinstance(s, A.Query):
                 writer = writes.Writer(before)
                 frame = Lowering(self.spark, before, params, self.functions).query(s.clauses, writer)
-                after, out = writer.catalog, self._visible(frame.df, s.clauses)
-            elif isinstance(s, A.Union):
+                out[0] = self._visible(frame.df, s.clauses)
+                return writer.catalog
+            if isinstance(s, A.Union):
                 raise BindError("UNION can't write")
-            else:
-                after = writes.define(before, self.spark, s)
-            self.catalog = self.store.publish(before, after) if self.store else after
-            return out
-        finally:
-            self._writing.release()
+            return writes.define(before, self.spark, s)
+
+        self.commit(change)
+        return out[0]
 
     def _call(self, s: A.CallProcedure, params: dict[str, Any]) -> DataFrame:
         out = self.call(s.name, *[constant(a, params) for a in s.args])

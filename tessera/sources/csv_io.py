@@ -47,7 +47,10 @@ def write_csv(df: DataFrame, path: str, header: bool, delimiter: str) -> None:
     fs = target.getFileSystem(conf)
     text.coalesce(1).write.csv(part.toString(), header=header, sep=delimiter, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     (made,) = [s.getPath() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(part, "part-*"))] or [None]
-    fs.delete(target, False)
-    if made is None or not fs.rename(made, target):
+    if made is None:
         raise OSError(f"can't write {path}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(made), fs.makeQualified(target), overwrite)
     fs.delete(part, True)

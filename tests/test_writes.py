@@ -118,13 +118,66 @@ def test_store(spark, rows, tmp_path):
         reader.cypher("CREATE (a:P {id: 3})")
 
 
-def test_stream(spark, graph, rows, tmp_path):
+def test_two_writers_of_a_folder(spark, rows, tmp_path):
+    root = f"{tmp_path}/db"
+    GraphSession(spark, root).execute_script(P + "CREATE (a:P {id: 1})")
+    x, y = GraphSession(spark, root), GraphSession(spark, root)
+    old = y.cypher(READ)
+    x.cypher("CREATE (a:P {id: 2})")
+    y.cypher("CREATE (a:P {id: 3})")  # takes over x's version first
+    assert rows(GraphSession(spark, root).cypher(READ)) == [(1, None), (2, None), (3, None)]
+    x.checkpoint()
+    assert rows(old) == [(1, None)]  # the files of a late version stay for its readers
+    x.refresh()
+    after, y.store.version = x.catalog, y.store.version - 1
+    with pytest.raises(TransactionError):
+        y.store.publish(after, after)
+    x.store.fs.create(x.store._path(f"claims/{x.store.version + 1}"), False).close()  # someone else is at it
+    with pytest.raises(TransactionError):
+        x.cypher("CREATE (a:P {id: 4})")
+    assert rows(GraphSession(spark, root).cypher(READ)) == [(1, None), (2, None), (3, None)]
+    x.store.fs.delete(x.store._path(f"claims/{x.store.version + 1}"), False)
+    x.checkpoint(0)
+    assert rows(GraphSession(spark, root).cypher(READ)) == [(1, None), (2, None), (3, None)]
+
+
+def test_many_appends_leave_few_parts(spark, graph, rows, tmp_path):
+    stored = GraphSession(spark, f"{tmp_path}/db")
+    for g, n in ((graph, 50), (stored, 12)):
+        g.cypher(P.rstrip(";"))
+        for k in range(n):
+            g.cypher(f"CREATE (a:P {{id: {k}}})")
+        assert g.catalog.node("P").rows.rdd.getNumPartitions() <= 12
+        assert rows(g.cypher("MATCH (p:P) RETURN count(*) AS n, sum(p.id) AS s")) == [(n, n * (n - 1) // 2)]
+    assert len(GraphSession(spark, f"{tmp_path}/db").catalog.node("P").parts.each) <= 5
+
+
+def test_stream(spark, rows, tmp_path):
+    """Keys that aren't offsets, ends that don't exist, and a restart over the same checkpoint and folder."""
     from tessera.streaming import append_rels
 
-    graph.execute_script(P + "CREATE REL TABLE K(FROM P TO P); CREATE (a:P {id: 1}), (b:P {id: 2}), (c:P {id: 3})")
-    spark.createDataFrame([(0, 1), (1, 2)], "s long, t long").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("s long, t long").parquet(f"{tmp_path}/in")
-    append_rels(graph, "K", stream, "s", "t", f"{tmp_path}/ck").processAllAvailable()
-    for q in spark.streams.active:
-        q.stop()
-    assert rows(graph.cypher("MATCH (a:P)-[:K]->(b:P) RETURN a.id AS a, b.id AS b")) == [(1, 2), (2, 3)]
+    root = f"{tmp_path}/db"
+    graph = GraphSession(spark, root)
+    graph.execute_script("CREATE NODE TABLE P(id STRING, PRIMARY KEY(id)); CREATE REL TABLE K(FROM P TO P, w DOUBLE); CREATE (a:P {id: 'x'}), (b:P {id: 'y'}), (c:P {id: 'z'})")
+
+    def run(session, checkpoint):
+        stream = spark.readStream.schema("s string, t string, w double").parquet(f"{tmp_path}/in")
+        query = append_rels(session, "K", stream, "s", "t", f"{tmp_path}/{checkpoint}")
+        query.processAllAvailable()
+        query.stop()
+
+    read = "MATCH (a:P)-[k:K]->(b:P) RETURN a.id AS a, k.w AS w, b.id AS b"
+    spark.createDataFrame([("z", "x", 1.0), ("x", "none", 2.0)], "s string, t string, w double").write.parquet(f"{tmp_path}/in")
+    run(graph, "ck")
+    assert rows(graph.cypher(read)) == [("z", 1.0, "x")]
+    again = GraphSession(spark, root)
+    applied = dict(again.catalog.applied)
+    # the same batch once more, as after a crash between the write and the checkpoint
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/ck")
+    run(again, "ck")
+    assert rows(again.cypher(read)) == [("z", 1.0, "x")] and again.catalog.applied == applied
+    spark.createDataFrame([("y", "z", 3.0)], "s string, t string, w double").write.mode("append").parquet(f"{tmp_path}/in")
+    run(again, "ck")
+    assert rows(GraphSession(spark, root).cypher(read)) == [("y", 3.0, "z"), ("z", 1.0, "x")]
