@@ -34,6 +34,13 @@ def complete(text: str) -> list[str]:
     return sorted(w for w in RESERVED if text and w.startswith(text.upper()))
 
 
+def hint(text: str) -> str:
+    """What completes the last word of a line, if only one command or keyword can."""
+    word = text.split()[-1] if text.split() and not text[-1].isspace() else ""
+    found = complete(word) if word else []
+    return found[0][len(word) :] if len(found) == 1 else ""
+
+
 def table_text(df: DataFrame) -> str:
     """The first ROWS rows as a bordered table."""
     names = df.columns
@@ -97,6 +104,7 @@ def main() -> None:
         import readline
 
         readline.set_completer(lambda text, k: (complete(text) + [None])[k])
+        readline.set_completion_display_matches_hook(lambda word, found, width: print("\n" + "  ".join(found) + f"\n> {readline.get_line_buffer()}", end="", flush=True))
         readline.parse_and_bind("tab: complete")
     except ImportError:
         pass

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.cli import Shell, complete, hint
 from tessera.dataset import TOP_TRADES, star_graph
+from tessera.errors import GraphError
+from tessera.plans.checkpoint import shared_folder
 from tessera.session import GraphSession
 
 #: name -> (query text, parameters, SQL)
@@ -130,6 +134,8 @@ def _reach(least: int, most: int, both: bool = False) -> str:
 _add("varlen_1_1", "MATCH (a:Nation)-[:TRADES*1..1]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b", _reach(1, 1))
 _add("varlen_1_2", "MATCH (a:Nation)-[:TRADES*1..2]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b", _reach(1, 2))
 _add("varlen_1_3", "MATCH (a:Nation)-[:TRADES*..3]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b", _reach(1, 3))
+_add("varlen_just_1", "MATCH (a:Nation)-[:TRADES*1]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b", _reach(1, 1))
+_add("varlen_turns", "MATCH (a:Turn)-[:NEXT_TURN*2..4]->(b:Turn) RETURN a.id AS a, b.id AS b", f"with {TURNS_SQL} select x.id a, y.id b from turns x join turns y on x.conv_id = y.conv_id and y.turn - x.turn between 2 and 4 where (select count(*) from turns z where z.conv_id = x.conv_id and z.turn > x.turn and z.turn <= y.turn) = y.turn - x.turn")
 _add("varlen_2_2", "MATCH (a:Nation)-[:TRADES*2]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b", _reach(2, 2))
 _add("varlen_left", "MATCH (b:Nation)<-[:TRADES*1..3]-(a:Nation) WHERE a.n_nationkey = 4 RETURN a.n_nationkey AS a, b.n_nationkey AS b", f"select * from ({_reach(1, 3)}) where a = 4")
 _add("varlen_both", "MATCH (a:Nation)-[:TRADES*1..2]-(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b", _reach(1, 2, True))
@@ -162,12 +168,24 @@ select n_nationkey::bigint node_id, round(coalesce((select sum(x.k::double * y.k
   where x.n = n_nationkey and x.s <> n_nationkey and y.n <> n_nationkey and x.s <> y.n), 0) / 2, 5) score from nation"""
 
 
+def _lpa_sql() -> str:
+    """Labels in a list by node, one step of the recursion a node, 100 rounds."""
+    return f"""with recursive {TRADES_SQL}, near as (select v, list(u order by u) us from (select s v, d u from trades union select d, s from trades) group by v),
+r(step, labels) as (select 0, (select list(n_nationkey::bigint order by n_nationkey) from nation) union all
+  select step + 1, list_concat(list_concat(labels[1:v], [list_sort(list_transform(list_distinct(ls), lambda x: {{'c': -len(list_filter(ls, lambda y: y = x)), 'l': x}}))[1].l]), labels[v + 2:])
+  from (select r.step, r.labels, near.v, list_transform(near.us, lambda u: r.labels[u + 1]) ls from r join near on near.v = r.step % 25 where r.step < 2500))
+select unnest(range(25))::bigint node_id, unnest(labels) community from r where step = 2500"""
+
+
 _NATIONS = (
     "COPY (MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS name, n.n_regionkey AS r) TO '{path}' (HEADER, DELIMITER ';')",
     "CREATE NODE TABLE N(k INT64, name STRING, r INT64, PRIMARY KEY(k)); COPY N FROM '{path}' (HEADER, DELIMITER ';')",
     "MATCH (n:N) RETURN n.k AS k, n.name AS name, n.r AS r",
 )
 
+#: Statements' numbers and the kinds of errors they end in.
+_REFUSED_SQL = "select row_number() over () - 1 as k, error from (values {}) v(error)"
+
 #: name -> (function of the session and folder, SQL)
 OTHERS: dict[str, tuple[Callable[[GraphSession, str], DataFrame], str | None]] = {
     "algo_pagerank": (lambda g, d: g.call("pagerank", "TRADES").select("node_id", F.round("score", 5).alias("score")), _pagerank_sql()),
@@ -182,9 +200,10 @@ OTHERS: dict[str, tuple[Callable[[GraphSession, str], DataFrame], str | None]] =
     ),
     "algo_dijkstra": (
         lambda g, d: _all_costs(g),
-        f"with recursive {TRADES_SQL}, r(n, c, path) as (select 0::bigint, 0.0::double, [0::bigint] union all select d, r.c + w, list_append(r.path, d) from r join trades on s = r.n where not list_contains(r.path, d) and len(r.path) < 12) select n_nationkey::bigint target, (select round(min(c), 2) from r where n = n_nationkey) as cost from nation where n_nationkey in (1, 2, 3, 10)",
+        f"with recursive {TRADES_SQL}, r(n, c, path) as (select 0::bigint, 0.0::double, [0::bigint] union all select d, r.c + w, list_append(r.path, d) from r join trades on s = r.n where not list_contains(r.path, d) and len(r.path) < 12) select n_nationkey::bigint target, (select round(min(c), 2) from r where n = n_nationkey) as cost, (select array_to_string(arg_min(path, (c, path)), ',') from r where n = n_nationkey) as path from nation where n_nationkey in (1, 2, 3, 10)",
     ),
     "algo_lpa": (lambda g, d: g.call("label_propagation", "COPURCHASED"), None),
+    "algo_lpa_trades": (lambda g, d: g.call("label_propagation", "TRADES"), _lpa_sql()),
     "dbms_tables": (
         lambda g, d: g.cypher("CALL dbms.tables() YIELD type, name"),
         "select unnest(['Region', 'Nation', 'Customer', 'Supplier', 'Part', 'Orders', 'Users', 'Event', 'Turn']) as name, 'NODE' as type union all"
@@ -199,6 +218,62 @@ OTHERS: dict[str, tuple[Callable[[GraphSession, str], DataFrame], str | None]] =
     "dml_serial": (lambda g, d: _written(g, "CREATE NODE TABLE S(id SERIAL, v STRING, PRIMARY KEY(id)); CREATE (a:S {v: 'a'}); CREATE (a:S {v: 'b'})", "MATCH (s:S) RETURN s.id AS id, s.v AS v"), "select 0::bigint id, 'a' v union all select 1, 'b'"),
     "ddl_alter": (lambda g, d: _written(g, "ALTER TABLE P ADD COLUMN z INT64; ALTER TABLE P RENAME COLUMN name TO label; ALTER TABLE P DROP age; ALTER TABLE P RENAME TO Q", "MATCH (q:Q) RETURN q.id AS id, q.label AS label, q.z AS z"), "select 1::bigint id, 'Ann' as label, null::bigint z union all select 2, 'Bob', null"),
     "csv_round_trip": (lambda g, d: _csv(g, *_NATIONS), "select n_nationkey::bigint k, n_name as name, n_regionkey::bigint r from nation"),
+    "csv_quoted_fields": (
+        lambda g, d: _csv(
+            g,
+            "COPY (MATCH (n:Nation) RETURN n.n_nationkey AS k, concat('say \"', n.n_name, '\", or; ', to_string(n.n_regionkey)) AS name) TO '{path}' (HEADER, DELIMITER ',')",
+            "CREATE NODE TABLE N(k INT64, name STRING, PRIMARY KEY(k)); COPY N FROM '{path}' (HEADER, DELIMITER ',')",
+            "MATCH (n:N) RETURN n.k AS k, n.name AS name",
+        ),
+        "select n_nationkey::bigint k, 'say \"' || n_name || '\", or; ' || n_regionkey as name from nation",
+    ),
+    "csv_boolean_words": (
+        lambda g, d: _csv(
+            g,
+            "COPY (MATCH (n:Nation) RETURN n.n_nationkey AS k, list_extract(['true', 'F', 'Yes', '0', 'T', 'NO', '1', 'false', '', 'NULL'], n.n_nationkey % 10 + 1) AS ok) TO '{path}'",
+            "CREATE NODE TABLE N(k INT64, ok BOOL, PRIMARY KEY(k)); COPY N FROM '{path}'",
+            "MATCH (n:N) RETURN n.k AS k, n.ok AS ok",
+        ),
+        "select n_nationkey::bigint k, [true, false, true, false, true, false, true, false, null, null][n_nationkey % 10 + 1] ok from nation",
+    ),
+    "csv_value_forms": (
+        lambda g, d: _csv(
+            g,
+            "COPY (MATCH (p:Part) RETURN p.p_partkey AS k, p.p_size % 2 = 0 AS even, p.p_size / 2.0 AS half, CASE WHEN p.p_size > 25 THEN p.p_brand END AS brand, [p.p_size, p.p_partkey] AS both) TO '{path}' (HEADER, DELIMITER '|')",
+            "CREATE NODE TABLE N(k INT64, even STRING, half STRING, brand STRING, b STRING, PRIMARY KEY(k)); COPY N FROM '{path}' (HEADER, DELIMITER '|')",
+            "MATCH (n:N) RETURN n.k AS k, n.even AS even, n.half AS half, n.brand AS brand, n.b AS b",
+        ),
+        "select p_partkey k, (p_size % 2 = 0)::varchar even, case when p_size % 2 = 0 then (p_size // 2)::varchar else (p_size / 2.0)::double::varchar end half, case when p_size > 25 then p_brand end brand, '[' || p_size || ',' || p_partkey || ']' b from part",
+    ),
+    "cast_refused": (lambda g, d: _refused(g, "RETURN CAST('2020-01-02' AS DATE) AS x", "RETURN CAST(1 AS DATETIME) AS x", "RETURN CAST(1.5 AS BOOL) AS x"), _REFUSED_SQL.format("('BindError'), ('BindError'), ('BindError')")),
+    "star_refused": (lambda g, d: _refused(g, "RETURN lower(*) AS x", "MATCH (n:Nation) RETURN n.n_name + * AS x"), _REFUSED_SQL.format("('BindError'), ('SyntaxProblem')")),
+    "hops_over_two_tables": (
+        lambda g, d: _refused(g, "MATCH (c:Customer)-[:PLACED*1..2]->(o:Orders) RETURN count(*) AS n", "MATCH (c:Customer)-[:PLACED*1..1]->(o:Orders) RETURN count(*) AS n"),
+        _REFUSED_SQL.format("('BindError'), (null)"),
+    ),
+    "dml_create_path": (lambda g, d: _written(g, "CREATE (a:P {id: 5})-[:K {w: 2.5}]->(b:P {id: 6})<-[:K]-(c:P {id: 7})", "MATCH (a:P)-[k:K]->(b:P) RETURN a.id AS a, k.w AS w, b.id AS b"), "select 5::bigint a, 2.5::double w, 6::bigint b union all select 7, null, 6"),
+    "dml_detach": (
+        lambda g, d: _written(g, "MATCH (a:P {id: 1}), (b:P {id: 2}) CREATE (a)-[:K {w: 1.0}]->(b); CREATE (c:P {id: 3})-[:K {w: 2.0}]->(e:P {id: 4}); MATCH (p:P {id: 2}) DETACH DELETE p", "MATCH (a:P) OPTIONAL MATCH (a)-[k:K]->(b:P) RETURN a.id AS a, k.w AS w"),
+        "select 1::bigint a, null::double w union all select 3, 2.0 union all select 4, null",
+    ),
+    "key_violations": (
+        lambda g, d: _refused(_people(g), "CREATE (a:P {id: 1})", "CREATE (a:P {id: 5}), (b:P {id: 5})", "CREATE (a:P {name: 'x'})", "MATCH (p:P {id: 2}) SET p.id = 1", "CREATE (a:P {id: 9})"),
+        _REFUSED_SQL.format("('ConstraintError'), ('ConstraintError'), ('ConstraintError'), ('ConstraintError'), (null)"),
+    ),
+    "ddl_drop": (
+        lambda g, d: _refused(_people(g), "DROP TABLE P", "DROP TABLE K", "DROP TABLE P", "DROP TABLE P", "MATCH (p:P) RETURN p.id AS id"),
+        _REFUSED_SQL.format("('BindError'), (null), (null), ('BindError'), ('BindError')"),
+    ),
+    "failed_statement": (lambda g, d: _after_failure(g), "select 1::bigint id, 'Ann' as name, 30.0::double age union all select 2, 'Bob', null union all select 3, 'kept', null"),
+    "read_only": (lambda g, d: _read_only(g), _REFUSED_SQL.format("('TransactionError'), ('TransactionError'), (null)")),
+    "shell_session": (
+        lambda g, d: _shell(g, "CREATE NODE TABLE P(id INT64,", "PRIMARY KEY(id));", "CREATE (a:P {id: 7});", "MATCH (p:P)", "RETURN p.id AS id;", "MATCH (p:Q) RETURN p;", ".schema P", ".database", ".nope", ".quit"),
+        "select unnest(range(10))::bigint k, unnest(['', 'done', '+---+------+' || chr(10) || '| a | a.id |' || chr(10) || '+---+------+' || chr(10) || '| 0 | 7    |' || chr(10) || '+---+------+', '', '+----+' || chr(10) || '| id |' || chr(10) || '+----+' || chr(10) || '| 7  |' || chr(10) || '+----+', 'error', 'P (id bigint) key id', 'in memory', 'unknown command .nope; see .help', null]) said",
+    ),
+    "shell_completion": (
+        lambda g, d: g.spark.createDataFrame([(w, ",".join(complete(w)), hint(w)) for w in ("MAT", ".t", ".che", "RETU", "", "zz")], "word string, found string, hint string"),
+        "select unnest(['MAT', '.t', '.che', 'RETU', '', 'zz']) word, unnest(['MATCH', '.tables', '.checkpoint', 'RETURN', '', '']) as found, unnest(['CH', 'ables', 'ckpoint', 'RN', '', '']) hint",
+    ),
     "prepared_param": (lambda g, d: g.prepare("MATCH (n:Nation) WHERE n.n_regionkey = $r RETURN n.n_name AS name").execute({"r": 3}), "select n_name as name from nation where n_regionkey = 3"),
     "script": (lambda g, d: g.execute_script("MATCH (r:Region) RETURN count(*) AS n; MATCH (n:Nation) RETURN count(*) AS n;"), "select count(*) n from nation"),
     "register_function": (lambda g, d: _with_function(g), "select n_name as name, n_regionkey::bigint + 100 x from nation"),
@@ -214,23 +289,61 @@ def _all_costs(g: GraphSession) -> DataFrame:
     """Costs from nation 0 to four others, without a way NULL."""
     out = None
     for target in (1, 2, 3, 10):
-        way = g.call("dijkstra", 0, target, "TRADES", "w").agg(F.min("cost").alias("cost")).select(F.lit(target).cast("bigint").alias("target"), F.round("cost", 2).alias("cost"))
+        way = g.call("dijkstra", 0, target, "TRADES", "w").agg(F.min("cost").alias("cost"), F.min(F.concat_ws(",", "path")).alias("path")).select(F.lit(target).cast("bigint").alias("target"), F.round("cost", 2).alias("cost"), "path")
         out = way if out is None else out.unionAll(way)
     return out
 
 
 def _written(g: GraphSession, script: str, read: str = "MATCH (p:P) RETURN p.id AS id, p.name AS name, p.age AS age") -> DataFrame:
     """Rows read back after a script over a small graph in memory."""
-    fresh = GraphSession(g.spark)
-    fresh.execute_script("CREATE NODE TABLE P(id INT64, name STRING, age DOUBLE, PRIMARY KEY(id)); CREATE REL TABLE K(FROM P TO P, w DOUBLE); CREATE (a:P {id: 1, name: 'Ann', age: 30}), (b:P {id: 2, name: 'Bob'})")
+    fresh = _people(g)
     fresh.execute_script(script)
     return fresh.cypher(read)
 
 
+def _people(g: GraphSession) -> GraphSession:
+    fresh = GraphSession(g.spark)
+    fresh.execute_script("CREATE NODE TABLE P(id INT64, name STRING, age DOUBLE, PRIMARY KEY(id)); CREATE REL TABLE K(FROM P TO P, w DOUBLE); CREATE (a:P {id: 1, name: 'Ann', age: 30}), (b:P {id: 2, name: 'Bob'})")
+    return fresh
+
+
+def _refused(g: GraphSession, *statements: str) -> DataFrame:
+    """Each statement's number and the kind of error it ends in, NULL if it works."""
+    out = []
+    for k, text in enumerate(statements):
+        try:
+            g.cypher(text).count()
+            out.append((k, None))
+        except GraphError as e:
+            out.append((k, type(e).__name__))
+    return g.spark.createDataFrame(out, "k bigint, error string")
+
+
+def _after_failure(g: GraphSession) -> DataFrame:
+    """A statement that worked, one that failed half-way, and what is there then."""
+    fresh = _people(g)
+    _refused(fresh, "CREATE (a:P {id: 3, name: 'kept'})", "CREATE (a:P {id: 4, name: 'lost'}), (b:P {id: 1})")
+    return fresh.cypher("MATCH (p:P) RETURN p.id AS id, p.name AS name, p.age AS age")
+
+
+def _read_only(g: GraphSession) -> DataFrame:
+    reader = GraphSession(g.spark, read_only=True)
+    reader.catalog = g.catalog
+    return _refused(reader, "CREATE (r:Region {r_regionkey: 9})", "DROP TABLE TRADES", "MATCH (r:Region) RETURN count(*) AS n")
+
+
+def _shell(g: GraphSession, *lines: str) -> DataFrame:
+    """What the shell says to each line, without times and the wording of errors."""
+    shell, out = Shell(g.spark), []
+    for k, line in enumerate(lines):
+        said = shell.feed(line)
+        out.append((k, "error" if said and said.startswith("error") else re.sub(r"\n\([0-9.]+ s\)$", "", said) if said else said))
+    return g.spark.createDataFrame(out, "k bigint, said string")
+
+
 def _csv(g: GraphSession, out: str, into: str, read: str) -> DataFrame:
     """Rows written to a file in the shared folder, read into a new table and from there."""
-    base = g.spark.conf.get("spark.checkpoint.dir", None) or g.spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/{os.urandom(8).hex()}.csv"
+    path = f"{shared_folder(g.spark)}/{os.urandom(8).hex()}.csv"
     g.cypher(out.format(path=path))
     back = GraphSession(g.spark)
     back.execute_script(into.format(path=path))

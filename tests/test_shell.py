@@ -1,4 +1,4 @@
-from tessera.cli import Shell, complete
+from tessera.cli import Shell, complete, hint
 
 
 def test_shell(spark):
@@ -14,3 +14,7 @@ def test_shell(spark):
 
 def test_complete():
     assert complete("mat") == ["MATCH"] and ".tables" in complete(".t") and complete("") == []
+
+
+def test_hint():
+    assert hint("MATCH (n) RETU") == "RN" and hint(".tab") == "les" and hint("MATCH ") == hint("") == hint("W") == hint("nope") == ""
