@@ -255,25 +255,30 @@ def _induce(out: np.ndarray, text: np.ndarray, wanted: np.ndarray, heads: np.nda
         at = end
 
 
-def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+class Prefixes:
     """Lengths of the common prefixes of suffix pairs, up to depth: seven symbols of nine bits a word."""
-    padded = np.append(text, np.zeros(depth + 14, text.dtype)).astype(np.uint64)
-    words = np.zeros(len(padded) - 6, np.uint64)
-    for j in range(7):
-        words = words << np.uint64(9) | padded[j : len(words) + j]
-    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
-    for k in range(0, depth, 7):
-        if not len(live):
-            break
-        off = words[a[live] + k] ^ words[b[live] + k]
-        same = off == 0
-        bits = np.frexp((off[~same] >> np.uint64(9 * 3)).astype(np.float64))[1]  # exact for what is left of the upper four
-        low = np.frexp((off[~same] & np.uint64((1 << 27) - 1)).astype(np.float64))[1]
-        top = np.where(bits > 0, bits + 27, low)
-        out[live[same]] += 7
-        out[live[~same]] += (63 - top) // 9
-        live = live[same]
-    return np.minimum(out, depth)
+
+    def __init__(self, text: np.ndarray, depth: int):
+        padded = np.append(text, np.zeros(depth + 14, text.dtype)).astype(np.uint64)
+        self.depth, self.words = depth, np.zeros(len(padded) - 6, np.uint64)
+        for j in range(7):
+            self.words <<= np.uint64(9)
+            self.words |= padded[j : len(self.words) + j]
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+        for k in range(0, self.depth, 7):
+            if not len(live):
+                break
+            off = self.words[a[live] + k] ^ self.words[b[live] + k]
+            same = off == 0
+            bits = np.frexp((off[~same] >> np.uint64(9 * 3)).astype(np.float64))[1]  # exact for what is left of the upper four
+            low = np.frexp((off[~same] & np.uint64((1 << 27) - 1)).astype(np.float64))[1]
+            top = np.where(bits > 0, bits + 27, low)
+            out[live[same]] += 7
+            out[live[~same]] += (63 - top) // 9
+            live = live[same]
+        return np.minimum(out, self.depth)
 
 
 def join_strings(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -291,13 +296,13 @@ def descending(text: np.ndarray, depth: int, spool: Spool) -> Iterator[tuple[np.
     s_type = types(text)
     seeds = seeds_of(text, s_type)
     order = seeds[seed_order(text, s_type, seeds)]
-    waiting, bucket = Queues(spool), np.searchsorted(text[order], np.arange(SYMBOLS + 1))
+    waiting, bucket, common = Queues(spool), np.searchsorted(text[order], np.arange(SYMBOLS + 1)), Prefixes(text, depth)
     for c in range(SYMBOLS):
         for low in range(bucket[c], bucket[c + 1], spool.chunk):
             part = order[low : min(low + spool.chunk, bucket[c + 1])]
             ahead = order[max(0, low - 1) : low - 1 + len(part)] if low else np.append(part[:1], part[:-1])
-            waiting.put(c, part, common_prefixes(text, ahead, part, depth).astype(np.uint8))
-    del order, seeds
+            waiting.put(c, part, common.of(ahead, part).astype(np.uint8))
+    del order, seeds, common
     length = runs(text)
 
     large, queues = Queues(spool), Queues(spool)  # type L, ascending
