@@ -1,8 +1,8 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Cluster shards overlap: each vector goes to its OVERLAP nearest centroids, and a cluster larger than SPLIT is clustered
-again, until shards have a fixed size; only a cluster whose members are mostly all linked to each other stays whole and is
-cut into blocks, a task taking two of them, for there every pair counts. In each shard every vector's nearest candidates
+again, until shards have a fixed size; only a cluster that is one dense group, many of whose pairs are links or which
+doesn't fall apart, stays whole and is cut into blocks, a task taking two of them, for there every pair counts. In each shard every vector's nearest candidates
 are robust-pruned to a short adjacency list; the lists of a vector from all its shards are united. Then each vector is a
 query: a greedy beam search from the shard's medoid, then an expansion through every vector found in range. Pairs found
 are verified in double precision. Queries, half of them with links, are compared with brute force over all vectors; the
@@ -29,8 +29,9 @@ THRESHOLD = 0.9
 SAMPLE, SAMPLE_FLOATS, MOST_CLUSTERS, PER_CLUSTER, ROUNDS = 20_000, 4_000_000, 4096, 400, 8
 OVERLAP, BLOCK = 3, 1024
 #: A cluster of more than SPLIT members is clustered again into at most FAN parts, LEVELS times at most, on some SUBSAMPLE
-#: of them, unless more than DENSE of the sampled pairs are links. A member goes to its WIDE nearest parts.
-SPLIT, FAN, LEVELS, SUBSAMPLE, DENSE, WIDE = 1024, 64, 8, 2000, 0.5, 2
+#: of them. It stays whole, to be compared block by block, where more than DENSE of the sampled pairs are links, or where a
+#: part would hold more than LARGEST of the sample. A member goes to its WIDE nearest parts.
+SPLIT, FAN, LEVELS, SUBSAMPLE, DENSE, LARGEST, WIDE = 1024, 64, 4, 2000, 0.2, 0.5, 2
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 32
 #: The overlap grows while recall is below RECALL and at most to WIDEST; below LEAST_RECALL all pairs are compared.
 AUDIT, RECALL, WIDEST, LEAST_RECALL = 256, 0.97, 12, 0.9
@@ -217,7 +218,9 @@ def split_large(placed: DataFrame, threshold: float, scratch: Scratch, name: str
         linked = (x @ x.T >= threshold).sum() - len(x)
         centroids = None
         if linked <= DENSE * len(x) * (len(x) - 1):
-            centroids = fit_centroids(x, max(2, min(FAN, len(x), math.ceil(rows["members"].iloc[0] / PER_CLUSTER)))).tobytes()
+            found = fit_centroids(x, max(2, min(FAN, len(x), math.ceil(rows["members"].iloc[0] / PER_CLUSTER))))
+            if np.bincount((x @ found.T).argmax(1)).max() <= LARGEST * len(x):
+                centroids = found.tobytes()
         return pd.DataFrame({"cluster": rows["cluster"][:1], "members": rows["members"][:1], "centroids": [centroids]})
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
