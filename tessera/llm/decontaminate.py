@@ -27,25 +27,26 @@ UNITS = (
 NAME = r"(?<!\p{L})\p{Lu}\p{L}*"
 
 
-def marked_text(text: Column) -> Column:
-    """Lower-cased words parted by single spaces; values carry their type in front: #n number, #p name (any capitalised
-    word), #u unit after a number."""
-    t = F.translate(text, "#", " ")
-    t = F.lower(F.regexp_replace(t, NAME, "#p$0"))
-    t = F.regexp_replace(t, r"(\d)[.,](?=\d)", "$1")
+def marked(texts: DataFrame, *keys) -> DataFrame:
+    """keys and `m`: a text's lower-cased words parted by single spaces; values carry their type in front: #n number, #p
+    name (any capitalised word), #u unit after a number. Texts without a digit skip what is about numbers."""
+    low = F.lower(F.regexp_replace(F.translate(F.col("text"), "#", " "), NAME, "#p$0"))
+    t = F.regexp_replace("#t", r"(\d)[.,](?=\d)", "$1")
     t = F.regexp_replace(t, r"\d+", " #n$0 ")
     t = F.regexp_replace(t, rf"(#n\d+)\s+(?:#p)?({UNITS})(?!\p{{L}})", "$1 #u$2")
     t = F.regexp_replace(t, r"(#n\d+)\s*([%€$£°])", "$1 #u_$2 ")
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{Nd}#]+", " "))
+    t = F.when(F.col("#t").rlike("[0-9]"), t).otherwise(F.col("#t"))
+    kept = texts.select(*keys, low.alias("#t"))
+    return kept.select(*kept.columns[:-1], F.trim(F.regexp_replace(t, r"[^\p{L}\p{Nd}#]+", " ")).alias("m"))
 
 
-def words(marked: Column, form: str) -> Column:
+def words(text: Column, form: str) -> Column:
     """Tokens of a marked text: `valued` (names are words, numbers and units carry their values) and its template `plain`;
     `named` (names carry theirs too, neighbouring ones join) and its template `slots`."""
     if form in ("valued", "plain"):
-        t = F.regexp_replace(marked, "#p", "")
-        return F.split(t if form == "valued" else F.regexp_replace(t, "#([nu])[^ ]*", "#$1"), " ")
-    t = F.regexp_replace(marked, r"(#p\p{L}*) (?=#p)", "$1")
+        t = F.replace(text, F.lit("#p"), F.lit(""))
+        return F.split(t if form == "valued" else F.when(text.contains("#n"), F.regexp_replace(t, "#([nu])[^ ]*", "#$1")).otherwise(t), " ")
+    t = F.regexp_replace(text, r"(#p\p{L}*) (?=#p)", "$1")
     return F.split(t if form == "named" else F.regexp_replace(t, "#([pnu])[^ ]*", "#$1"), " ")
 
 
@@ -62,7 +63,7 @@ def item_marks(items: DataFrame) -> DataFrame:
     a window is looked for with its values, by windows of five tokens or, if it is shorter, whole (`valued`); one of one or
     two tokens only as a text of its own (`alone`).
     """
-    read = items.select("item_id", F.xxhash64("text").alias("item_text"), marked_text(F.col("text")).alias("m")).where("m <> ''").distinct()
+    read = marked(items, "item_id", F.xxhash64("text").alias("item_text")).where("m <> ''").distinct()
     cut = read.select("item_id", "item_text", *[words(F.col("m"), f).alias(f) for f in ("plain", "slots", "valued")])
     n = F.size("plain")
     place = lambda i, h: F.struct(i.alias("at"), h.alias("hash"))
@@ -86,7 +87,7 @@ def item_marks(items: DataFrame) -> DataFrame:
 def document_marks(texts: DataFrame, keys: list[str], asked: dict[str, list[int]], make) -> DataFrame:
     """keys and `w`, make(place, hash) of every window of texts(keys, text) of the kinds and widths that are asked for."""
     forms = [f for f in ("plain", "slots", "valued") if f in asked or (f == "valued" and "alone" in asked)]
-    cut = texts.select(*keys, marked_text(F.col("text")).alias("m")).select(*keys, *[words(F.col("m"), f).alias(f) for f in forms])
+    cut = marked(texts, *keys).select(*keys, *[words(F.col("m"), f).alias(f) for f in forms])
     found = [windows(F.col(k), F.lit(w), k, make) for k in forms for w in asked.get(k, [])]
     if "alone" in asked:
         found.append(F.when(F.size("valued") <= 2, F.array(make(F.lit(0), F.xxhash64(F.lit("alone"), F.col("valued"))))).otherwise(F.array()))
@@ -125,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     read = lambda df, key, name: df.join(small_side(likely.select(key).distinct()), key, "left_semi").where("text is not null").select(key, "text", text_id.alias(name)).distinct()
     doc_rows, item_rows = scratch.save("docs", read(docs, "doc_id", "doc_text")), scratch.save("texts", read(items, "item_id", "item_text"))
     ours = document_marks(doc_rows, ["doc_id", "doc_text"], asked or {"plain": [WIDTH]}, lambda at, h: F.struct(at.alias("at"), h.alias("hash")))
-    ours = ours.select("doc_id", "doc_text", "w.at", "w.hash")
+    ours = ours.select("doc_id", "doc_text", "w.at", "w.hash").join(small_side(first.select("hash").distinct()), "hash", "left_semi")
     every = parts.join(likely, of).join(ours, ["doc_id", "hash"])
     shift, cell = F.col("at") - F.col("item_at"), CELL * F.col("length")
     sets = [("exact", shift), ("low", F.floor(shift / DRIFT)), ("high", F.floor((shift + DRIFT // 2) / DRIFT)), ("cell", F.floor(F.col("at") / cell)), ("half", F.floor((F.col("at") + cell / 2) / cell))]
@@ -133,8 +134,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = ["doc_id", "doc_text", *of, "windows", "passage"]
     firsts = aligned.groupBy(*judged, "hash", "item_at").agg(F.min("at").alias("at"))
     held = firsts.groupBy(*judged).agg(F.count_distinct("hash").alias("matched"), F.collect_set(F.struct("item_at", "at")).alias("places"))
-    passing = held.where(F.col("matched") >= COVERAGE * F.col("windows"))
-    cut = lambda df, key, name, form, to: df.select(key, name, marked_text(F.col("text")).alias("m")).select(key, name, words(F.col("m"), form).alias(to))
+    passing = scratch.save("passing", held.where(F.col("matched") >= COVERAGE * F.col("windows")))
+    cut = lambda df, key, name, form, to: marked(df, key, name).select(key, name, words(F.col("m"), form).alias(to))
     along = lambda p: F.transform(
         F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.struct(F.get("theirs", p["item_at"] + j).alias("asked"), F.get("ours", p["at"] + j).alias("found"))
     )
