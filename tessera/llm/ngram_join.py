@@ -349,7 +349,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without all but one document of each class: the one with the class's id. Rows without a doc_id stay; of
-    repeated rows with the kept doc_id one stays. Texts are moved only where a doc_id repeats or too many go."""
+    rows with the kept doc_id one of each text stays. Texts are moved only where a doc_id repeats or too many go."""
     scratch = Scratch(docs.sparkSession, "kept")
     found = scratch.save("found", ngram_join(docs, threshold).select("doc_id", "class_id").where("doc_id is not null"))
     gone = found.where("doc_id <> class_id").select("doc_id").distinct()
@@ -358,5 +358,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if repeated.isEmpty():
         return stay
     some = small_side(repeated)
-    once = stay.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    once = stay.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
     return stay.join(some, "doc_id", "left_anti").select(docs.columns).unionByName(once)

@@ -22,3 +22,28 @@ def test_stages(spark, documents, prose, tmp_path):
     mixed = in_training_order(spark.read.parquet(f"{tmp_path}/decontaminate"), 2).count()
     assert docs.count() == mixed and seen["token_files"] == seen["mix"]
     assert sorted(map(tuple, P.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_edge_rows_and_clashing_columns(spark, documents, prose, tmp_path):
+    """Null ids, repeated rows, an empty text and extra columns named like the operators' own."""
+    rows = [(k, prose(30), "en", "s") for k in range(20)] + [(3, "other text of an id that comes twice", "en", "s"), (None, prose(30), "en", None), (None, None, None, None), (50, "", "en", "s")]
+    rows += [rows[7], rows[7]]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(30)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "token_files":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "ngram_join":
+            held = [r.doc_id for r in docs.select("doc_id").collect()]
+            assert held.count(7) == 1 and held.count(3) == 2 and held.count(None) == 1 and 50 not in held
+    assert docs.count() > 0
+
+
+def test_empty_table(spark, documents, tmp_path):
+    documents([]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
