@@ -19,6 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
@@ -53,22 +55,24 @@ SPECIAL = "<|endoftext|>"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-#: Signs that may end a chunk; the pattern breaks between a letter and such a sign.
-SIGNS = ".,;:!?|$*&%#@()[]{}<>=+-_/~^\"'`"
+#: A chunk that may be encoded in one go with others: no white space but a line feed in front.
+SOLID = re.compile(r"\n?\S+")
+#: Bytes of text whose chunks are looked up together, by rows of so many.
+PORTION, ROWS = 8 << 20, 1000
 
 
 class Chunks(dict):
-    """chunk -> its ids' bytes: a chunk follows a space, or begins with a line feed that it then includes. None marks a
+    """chunk -> its ids' bytes: a chunk follows a space, or begins with a line feed that it then includes. No bytes mark a
     chunk that other white space touches, whose ids depend on its neighbours.
 
     Of two generations the younger takes what is new or met again; when it is full, the elder is dropped, so chunks in
     use stay and memory is bounded."""
 
-    LIMIT, LONGEST, TOGETHER = 450_000, 64, 2000
+    LIMIT, LONGEST, TOGETHER = 450_000, 64, 100
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.limit, self.elder, self.tails = tokenizer, self.LIMIT, {}, {}
+        self.tokenizer, self.limit, self.elder = tokenizer, self.LIMIT, {}
         vocabulary = tokenizer.get_vocab()
         self.spaced, self.feeds = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the vocabulary's mark of a space
@@ -78,59 +82,50 @@ class Chunks(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes | None:
+    def __missing__(self, chunk: str) -> bytes:
         body = chunk[1:] if chunk[:1] == "\n" else chunk
         if not body or body[0].isspace() or body[-1].isspace():
-            return None
+            return b""
         ids = self.elder.get(chunk) or (self.encode(" " + chunk) if body is chunk else self.feed + self.encode(body))
         if len(chunk) <= self.LONGEST:
             self[chunk] = ids
         return ids
 
-    def tail(self, signs: str) -> bytes:
-        if signs not in self.tails:
-            if len(self.tails) >= self.limit:
-                self.tails.clear()
-            self.tails[signs] = self.encode(signs)
-        return self.tails[signs]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode what is new among chunks: words of letters together, words that end in signs from both parts."""
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks. What is new is encoded, many in one go."""
+        found = list(map(self.get, chunks))
+        at = [k for k, x in enumerate(found) if x is None]
+        if at:
+            self._learn([chunks[k] for k in at])
+            for k in at:
+                found[k] = self[chunks[k]]
+        return found
+
+    def _learn(self, new: list[str]) -> None:
         if len(self) >= self.limit:
             self.elder = dict(self)
             self.clear()
-        new, elder = chunks.difference(self), self.elder
-        old = new & elder.keys()
-        self.update({c: elder[c] for c in old})
-        new -= old
-        led = set(filter(str.isalpha, new))
-        unled, signed = set(), []
-        for c in new - led:
-            stem = c.rstrip(SIGNS)
-            plain = stem[1:] if stem[:1] == "\n" else stem
-            if plain.isalpha() and len(c) <= self.LONGEST:
-                if len(stem) < len(c):
-                    signed.append((c, stem))
-                    if stem in elder:
-                        self[stem] = elder[stem]
-                        continue
-                if stem not in self:
-                    (led if plain is stem else unled).add(plain)
-        self._together([w for w in led if len(w) <= self.LONGEST], " ", self.spaced)
-        self._together(list(unled), "\n", self.feeds)
-        for c, stem in signed:
-            self[c] = self[stem] + self.tail(c[len(stem) :])
-
-    def _together(self, words: list[str], mark: str, starts: np.ndarray) -> None:
-        """Encode words of letters in one go, the mark in front of each; with it, a word starts at each id in `starts`."""
-        for k in range(0, len(words), self.TOGETHER):
-            part = words[k : k + self.TOGETHER]
-            (e,) = self.tokenizer.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)
+        if self.elder:
+            old = {c: ids for c, ids in zip(new, map(self.elder.get, new)) if ids}
+            self.update(old)
+            new = [c for c in new if c not in old]
+        new = [c for c in new if len(c) <= self.LONGEST and SOLID.fullmatch(c)]
+        self._together([c for c in new if c[0] != "\n"], " ", self.spaced)
+        self._together([c[1:] for c in new if c[0] == "\n"], "\n", self.feeds)
+
+    def _together(self, bodies: list[str], mark: str, starts: np.ndarray) -> None:
+        """Encode chunks in one go, in short runs with the mark in front of each; with it, a chunk starts at each id in
+        `starts`."""
+        front, encode, out = "" if mark == " " else mark, self.tokenizer.encode_batch_fast, {}
+        for k in range(0, len(bodies), self.TOGETHER):
+            part = bodies[k : k + self.TOGETHER]
+            (e,) = encode([mark + mark.join(part)], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
-            cuts = (np.append(np.flatnonzero(starts[ids]), len(ids)) * 4).tolist()
+            cuts = [*np.flatnonzero(starts[ids]).tolist(), len(ids)]
             if len(cuts) == len(part) + 1:
-                raw, front = ids.tobytes(), "" if mark == " " else mark
-                self.update({front + w: raw[a:b] for w, a, b in zip(part, cuts, cuts[1:])})
+                raw = ids.tobytes()
+                out.update([(front + w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:])])
+        self.update(out)
 
 
 class Encoder:
@@ -161,11 +156,11 @@ class Encoder:
         head, *parts = LONE_SPACE.split(text)
         out = [self.whole(head)]
         for p in parts:
-            ids = self.chunks[p] if p[:1] != "\n" else None
-            out.append(self.whole(" " + p) if ids is None else ids)
+            ids = self.chunks[p] if p[:1] != "\n" else b""
+            out.append(ids or self.whole(" " + p))
         return b"".join(out)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Serialized ids with the end id; a null text counts as empty."""
         gc.disable()  # many lists of strings and no cycles
         try:
@@ -173,25 +168,41 @@ class Encoder:
         finally:
             gc.enable()
 
-    def _ids(self, texts: list[str | None]) -> list[bytes]:
+    def _ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         if self.chunks is None:
-            return [self.whole(t) + self.end if t else self.end for t in texts]
-        # a line feed goes in front of each text, so that its first chunk is one of a line; its id is cut off again
-        split = [f"\n{t}".replace("\n", " \n").split(" ") if t and SPECIAL not in t else () for t in texts]
-        self.chunks.learn(set().union(*split))
-        get, out = self.chunks.__getitem__, []
-        for t, parts in zip(texts, split):
-            if not t:
-                out.append(self.end)
-            elif not parts:
-                out.append(self.whole(t) + self.end)
-            else:
-                try:
-                    out.append(b"".join((*map(get, parts[1:]), self.end))[4:])
-                except TypeError:
-                    out.append(self.slowly(t) + self.end)
+            return [self.whole(t) + self.end if t else self.end for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        out = [self.end] * len(texts)
+        special, filled = pc.match_substring(texts, SPECIAL), pc.greater(pc.binary_length(texts), 0)
+        for k in pc.indices_nonzero(special).to_pylist():
+            out[k] = self.whole(texts[k].as_py()) + self.end
+        at = pc.indices_nonzero(pc.and_not(filled, special))
+        if len(at):
+            for k, ids in zip(at.to_pylist(), self._chunked(texts.take(at))):
+                out[k] = ids
         return out
 
+    def _chunked(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of texts that are not empty: each distinct chunk is looked up once, all places are filled by arrays."""
+        # a line feed goes in front of each text, so that its first chunk is one of a line; its id is cut off again
+        feed, nothing = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        split = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(texts, "\n", " \n"), nothing), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        bounds = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))
+        found = self.chunks.of(distinct)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, froms = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        taken = sizes[places]
+        slow = np.logical_or.reduceat(taken == 0, bounds[:-1]).tolist()
+        ends = np.cumsum(taken)
+        cuts = (np.append(0, ends)[bounds] * 4).tolist()
+        at = np.repeat(froms[places] - ends + taken, taken)
+        at += np.arange(len(at))
+        raw = memoryview(flat[at]).cast("B")
+        for k, (a, b, by_hand) in enumerate(zip(cuts, cuts[1:], slow)):
+            yield self.slowly(texts[k].as_py()) + self.end if by_hand else b"".join((raw[a + 4 : b], self.end))
+
 
 @lru_cache(1)
 def encoder_of(tokenizer_path: str, end_id: int, chunked: bool = True) -> Encoder:
@@ -199,6 +210,21 @@ def encoder_of(tokenizer_path: str, end_id: int, chunked: bool = True) -> Encode
     return Encoder(tokenizer_path, end_id, chunked)
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_ids and texts of PORTION bytes or a little more, ROWS rows at least where there are as many."""
+    held, size = [], 0
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            part = b.slice(k, ROWS)
+            held.append((part["doc_id"], part["text"].cast(pa.large_string())))
+            size += pc.sum(pc.binary_length(part["text"])).as_py() or 0
+            if size >= PORTION:
+                yield tuple(pa.concat_arrays(x) for x in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays(x) for x in zip(*held))
+
+
 def shard_bounds(ids: DataFrame, shards: int) -> np.ndarray:
     """shards - 1 ascending quantiles of doc_id, null ones counted as the least number. An id that holds more rows than a
     shard comes several times."""
@@ -335,17 +361,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
     with fs.open_output_stream(f"{path}/{digest.hex()}.dict") as out:
         out.write(dictionary)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path, end_id, chunked)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        for b in batches:
-            for k in range(0, len(b), 1000):
-                part = b.iloc[k : k + 1000]
-                raw = encoder.ids(part["text"].tolist())
-                ids = part["doc_id"].astype("Int64")
-                frames = [pack.compress(r) for r in raw]
-                shard = shards_of(ids.fillna(LEAST_ID).to_numpy(np.int64), bounds, frames)
-                yield pd.DataFrame({"shard": shard, "doc_id": ids, "tokens": [len(r) // 4 for r in raw], "frame": frames})
+        for ids, texts in portions(batches):
+            raw = encoder.ids(texts)
+            frames = [pack.compress(r) for r in raw]
+            shard = shards_of(ids.fill_null(LEAST_ID).to_numpy(zero_copy_only=False), bounds, frames)
+            tokens = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(tokens), pa.array(frames, pa.binary())], ["shard", "doc_id", "tokens", "frame"])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done, writer = [], None
@@ -360,7 +384,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
             done.append(writer.close())
         yield pd.DataFrame(done, columns=["shard", "docs", "tokens"])
 
-    encoded = docs.mapInPandas(encode, "shard int, doc_id long, tokens long, frame binary")
+    encoded = docs.mapInArrow(encode, "shard int, doc_id long, tokens long, frame binary")
     ordered = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
     with small_batches(spark):
         written = ordered.mapInPandas(write, "shard int, docs long, tokens long").collect()

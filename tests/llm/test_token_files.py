@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,6 +34,39 @@ def test_small_caches():
         assert [np.frombuffer(g, "<u4").tolist() for g in e.ids(texts)] == [plain(t) for t in texts]
 
 
+class Counted:
+    """A tokenizer whose calls are counted."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def __getattr__(self, name):
+        self.calls += name.startswith("encode")
+        return getattr(self.tokenizer, name)
+
+
+def test_new_chunks_are_encoded_together():
+    """Whatever a chunk is made of, it is encoded with others and once; arrays of texts give what lists give."""
+    e = T.Encoder(PATH, 2)
+    e.chunks.tokenizer = counted = Counted(e.chunks.tokenizer)
+    texts = [" ".join(f"{c}{k}{d}" for k in range(300)) + f"\n{c}9,\n{d}" for c in "aé#" for d in ("", "'s", "...", "中")]
+    want = [plain(t) for t in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in e.ids(texts)] == want and counted.calls < 100
+    before = counted.calls
+    some = pa.array([None, *texts, "", "a1\t b"]).slice(2)
+    assert [np.frombuffer(g, "<u4").tolist() for g in e.ids(some)] == want[1:] + [plain(""), plain("a1\t b")]
+    assert counted.calls - before < 5
+
+
+def test_portions(monkeypatch):
+    monkeypatch.setattr(T, "PORTION", 50)
+    monkeypatch.setattr(T, "ROWS", 4)
+    rows = [(None if k == 3 else k, None if k % 5 == 0 else "é" * (k % 7)) for k in range(40)]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows[a:b]], pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) for a, b in ((0, 0), (0, 13), (13, 14), (14, 40))]
+    got = list(T.portions(iter(batches)))
+    assert [r for ids, texts in got for r in zip(ids.to_pylist(), texts.to_pylist())] == rows and 2 < len(got) < 10
+
+
 def test_round_trip(spark, documents, prose, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "SHARD_CHARS", 3000)
     rows = [(k * 7 % 101, prose(k % 50)) for k in range(100)] + [(500, None), (501, ""), (502, "x" * 50_000), (None, "no id"), (503, "same"), (503, "same")]
