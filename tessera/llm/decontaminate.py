@@ -9,7 +9,7 @@ words are placeholders wherever they stand, so that what precedes a word makes n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, small_side
@@ -24,13 +24,15 @@ UNITS = (
     "|second|seconds|sec|minute|minutes|min|hour|hours|hr|hrs|day|days|week|weeks|month|months|year|years"
     "|percent|dollar|dollars|usd|cent|cents|euro|euros|eur|pound|pounds|degree|degrees|mph|kph|hz|khz|mhz|ghz|kb|mb|gb|tb|watt|watts|volt|volts"
 )
+#: First words of items' windows by which texts are read first, if there are no more of them; they are in the plan.
+ANCHORS = 5000
 NAME = r"(?<!\p{L})\p{Lu}\p{L}*"
 
 
 def marked(texts: DataFrame, *keys) -> DataFrame:
     """keys and `m`: a text's lower-cased words parted by single spaces; values carry their type in front: #n number, #p
     name (any capitalised word), #u unit after a number. Texts without a digit skip what is about numbers."""
-    low = F.lower(F.regexp_replace(F.translate(F.col("text"), "#", " "), NAME, "#p$0"))
+    low = F.lower(F.regexp_replace(F.replace(F.col("text"), F.lit("#"), F.lit(" ")), NAME, "#p$0"))
     t = F.regexp_replace("#t", r"(\d)[.,](?=\d)", "$1")
     t = F.regexp_replace(t, r"\d+", " #n$0 ")
     t = F.regexp_replace(t, rf"(#n\d+)\s+(?:#p)?({UNITS})(?!\p{{L}})", "$1 #u$2")
@@ -50,14 +52,18 @@ def words(text: Column, form: str) -> Column:
     return F.split(t if form == "named" else F.regexp_replace(t, "#([pnu])[^ ]*", "#$1"), " ")
 
 
-def windows(tokens: Column, width, kind: str, make) -> Column:
-    """make(place, hash) of every run of `width` tokens."""
+def windows(tokens: Column, width, kind: str, make, firsts: list[str] | None = None) -> Column:
+    """make(place, hash) of every run of `width` tokens, or of those that begin with one of firsts."""
     one = lambda i: make(i, F.xxhash64(F.lit(kind), F.slice(tokens, i + 1, width)))
-    return F.when(F.size(tokens) >= width, F.transform(F.sequence(F.lit(0), F.size(tokens) - width), one)).otherwise(F.array())
+    places = F.sequence(F.lit(0), F.size(tokens) - width)
+    if firsts is not None:
+        places = F.filter(places, lambda i: F.get(tokens, i).isin(firsts))
+    return F.when(F.size(tokens) >= width, F.transform(places, one)).otherwise(F.array())
 
 
 def item_marks(items: DataFrame) -> DataFrame:
-    """item_id, item_text, kind, length, windows, hash, item_at: what a document must hold of each item.
+    """item_id, item_text, kind, length, windows, hash, item_at, word: what a document must hold of each item. word is a
+    window's first token.
 
     kind `plain` or `slots`: windows of a template with two words or more that are no placeholders. An item without such
     a window is looked for with its values, by windows of five tokens or, if it is shorter, whole (`valued`); one of one or
@@ -66,29 +72,38 @@ def item_marks(items: DataFrame) -> DataFrame:
     read = marked(items, "item_id", F.xxhash64("text").alias("item_text")).where("m <> ''").distinct()
     cut = read.select("item_id", "item_text", *[words(F.col("m"), f).alias(f) for f in ("plain", "slots", "valued")])
     n = F.size("plain")
-    place = lambda i, h: F.struct(i.alias("at"), h.alias("hash"))
+    place = lambda form: lambda i, h: F.struct(i.alias("at"), h.alias("hash"), F.get(form, i).alias("word"))
 
     def dense(form: str) -> Column:
         words_in = lambda w: F.size(F.filter(F.slice(F.col(form), w["at"] + 1, WIDTH), lambda t: ~t.startswith("#"))) >= 2
-        return F.filter(windows(F.col(form), F.lit(WIDTH), form, place), words_in)
+        return F.filter(windows(F.col(form), F.lit(WIDTH), form, place(form)), words_in)
 
     found = cut.select("item_id", "item_text", "valued", n.alias("length"), dense("plain").alias("plain"), F.when(F.exists("slots", lambda t: t == "#p"), dense("slots")).alias("slots"))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit("alone"), F.col("valued")).alias("hash")))
+    whole = F.array(place("valued")(F.lit(0), F.xxhash64(F.lit("alone"), F.col("valued"))))
     length = F.col("length")
-    valued = F.when((length > 2) & (F.size("plain") == 0), windows(F.col("valued"), F.least(length, F.lit(WIDTH)), "valued", place))
+    valued = F.when((length > 2) & (F.size("plain") == 0), windows(F.col("valued"), F.least(length, F.lit(WIDTH)), "valued", place("valued")))
     kinds = {"plain": F.col("plain"), "slots": F.col("slots"), "valued": valued, "alone": F.when(length <= 2, whole)}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(v, F.array()).alias("marks")) for k, v in kinds.items()]))
     marks = found.select("item_id", "item_text", "length", each.alias("of")).select(
         "item_id", "item_text", "length", "of.kind", F.size(F.array_distinct(F.transform("of.marks", lambda w: w["hash"]))).alias("windows"), F.explode("of.marks").alias("w")
     )
-    return marks.select("item_id", "item_text", "kind", "length", "windows", F.col("w.hash").alias("hash"), F.col("w.at").alias("item_at"))
+    return marks.select("item_id", "item_text", "kind", "length", "windows", F.col("w.hash").alias("hash"), F.col("w.at").alias("item_at"), F.col("w.word").alias("word"))
 
 
-def document_marks(texts: DataFrame, keys: list[str], asked: dict[str, list[int]], make) -> DataFrame:
-    """keys and `w`, make(place, hash) of every window of texts(keys, text) of the kinds and widths that are asked for."""
+def telling(first: DataFrame) -> DataFrame:
+    """Of first(item_id, item_text, kind, windows, hash, word), a row a window, as many windows of each item as leave too few
+    others to cover it: whatever holds the item holds one of them. Those that begin with long words, which are rare."""
+    least = F.ceil(COVERAGE * F.col("windows") - 1e-6)
+    rare = Window.partitionBy("item_id", "item_text", "kind").orderBy(F.col("word").startswith("#"), F.length("word").desc(), "word", "hash")
+    return first.withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= F.col("windows") - least + 1)
+
+
+def document_marks(texts: DataFrame, keys: list[str], asked: dict[str, list[int]], make, firsts: dict[str, list[str]] | None = None) -> DataFrame:
+    """keys and `w`, make(place, hash) of every window of texts(keys, text) of the kinds and widths that are asked for, or
+    of those that begin with one of their kind's firsts."""
     forms = [f for f in ("plain", "slots", "valued") if f in asked or (f == "valued" and "alone" in asked)]
     cut = marked(texts, *keys).select(*keys, *[words(F.col("m"), f).alias(f) for f in forms])
-    found = [windows(F.col(k), F.lit(w), k, make) for k in forms for w in asked.get(k, [])]
+    found = [windows(F.col(k), F.lit(w), k, make, None if firsts is None else firsts.get(k, [])) for k in forms for w in asked.get(k, [])]
     if "alone" in asked:
         found.append(F.when(F.size("valued") <= 2, F.array(make(F.lit(0), F.xxhash64(F.lit("alone"), F.col("valued"))))).otherwise(F.array()))
     return cut.select(*keys, F.explode(F.concat(*found)).alias("w"))
@@ -115,18 +130,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for r in parts.select("kind", F.when(F.col("kind") == "valued", F.least("length", F.lit(WIDTH))).otherwise(WIDTH).alias("width")).distinct().collect():
         asked.setdefault(r.kind, []).append(r.width)
     of = ["item_id", "item_text", "kind"]
-    first = parts.groupBy("hash", *of).agg(F.min("item_at").alias("item_at"), F.first("windows").alias("windows"))
-    ours = document_marks(docs, ["doc_id"], asked or {"plain": [WIDTH]}, lambda at, h: h).withColumnRenamed("w", "hash")
-    met = ours.join(small_side(first), "hash").groupBy("doc_id", *of, "windows", "item_at").agg(F.count("*").alias("times"))
-    held = met.groupBy("doc_id", *of, "windows").agg(F.count("*").alias("held"))
-    likely = scratch.save("likely", held.where(F.col("held") >= COVERAGE * F.col("windows")).select("doc_id", *of))
-
-    # the few documents left are read again, with every place of every window
+    asked = asked or {"plain": [WIDTH]}
+    first = parts.groupBy("hash", *of).agg(F.first("windows").alias("windows"), F.first("word").alias("word"))
+
+    # documents that hold a telling window of an item, the only ones that can hold the item
+    told = scratch.save("told", telling(first).select("kind", "hash", "word").distinct())
+    few = told.where("kind <> 'alone'").select("kind", "word").distinct().limit(ANCHORS + 1).collect()
+    firsts: dict[str, list[str]] = {}
+    for r in few:
+        firsts.setdefault(r.kind, []).append(r.word)
+    ours = document_marks(docs, ["doc_id"], asked, lambda at, h: h, firsts if len(few) <= ANCHORS else None).withColumnRenamed("w", "hash")
+    maybe = scratch.save("maybe", ours.join(small_side(told.select("hash").distinct()), "hash", "left_semi").select("doc_id").distinct())
+
+    # they are read again, with every place of every window
     text_id = F.xxhash64("text")
-    read = lambda df, key, name: df.join(small_side(likely.select(key).distinct()), key, "left_semi").where("text is not null").select(key, "text", text_id.alias(name)).distinct()
-    doc_rows, item_rows = scratch.save("docs", read(docs, "doc_id", "doc_text")), scratch.save("texts", read(items, "item_id", "item_text"))
-    ours = document_marks(doc_rows, ["doc_id", "doc_text"], asked or {"plain": [WIDTH]}, lambda at, h: F.struct(at.alias("at"), h.alias("hash")))
-    ours = ours.select("doc_id", "doc_text", "w.at", "w.hash").join(small_side(first.select("hash").distinct()), "hash", "left_semi")
+    read = lambda df, key, name, which: df.join(small_side(which.select(key).distinct()), key, "left_semi").where("text is not null").select(key, "text", text_id.alias(name)).distinct()
+    doc_rows = scratch.save("docs", read(docs, "doc_id", "doc_text", maybe))
+    ours = document_marks(doc_rows, ["doc_id", "doc_text"], asked, lambda at, h: F.struct(at.alias("at"), h.alias("hash")))
+    ours = scratch.save("places", ours.select("doc_id", "doc_text", "w.at", "w.hash").join(small_side(first.select("hash").distinct()), "hash", "left_semi"))
+    held = ours.select("doc_id", "hash").distinct().join(small_side(first), "hash").groupBy("doc_id", *of, "windows").agg(F.count("*").alias("held"))
+    likely = scratch.save("likely", held.where(F.col("held") >= COVERAGE * F.col("windows")).select("doc_id", *of))
+    item_rows = scratch.save("texts", read(items, "item_id", "item_text", likely))
     every = parts.join(likely, of).join(ours, ["doc_id", "hash"])
     shift, cell = F.col("at") - F.col("item_at"), CELL * F.col("length")
     sets = [("exact", shift), ("low", F.floor(shift / DRIFT)), ("high", F.floor((shift + DRIFT // 2) / DRIFT)), ("cell", F.floor(F.col("at") / cell)), ("half", F.floor((F.col("at") + cell / 2) / cell))]

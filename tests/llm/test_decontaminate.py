@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate as D
 from tessera.llm.decontaminate import contamination, decontaminated
 
 ITEM = "In the shop Alice had 12 kg of red apples and sold 5 of them to Bob, so how many are left with Alice now after that?"
@@ -113,6 +116,31 @@ def test_all_items_against_brute_force(spark, documents, prose):
     assert {(r.doc_id, r.item_id) for r in contamination(documents(docs), bench(spark, items)).collect()} == want
 
 
+def test_least_coverage_by_telling_windows(spark, documents, prose, monkeypatch):
+    """Wherever a copy is broken, it is found while 0.8 of the item's windows are left; the first reading hashes few windows."""
+    items = [(k, prose(n)) for k, n in enumerate((24, 29, 5, 9, 14))]
+    docs, want = [], set()
+    for i, text in items:
+        w = text.split()
+        for a in range(len(w)):
+            for b in range(a, min(a + 6, len(w))):
+                left = sum(not any(a <= j + o < b for o in range(5)) for j in range(len(w) - 4))
+                if left >= 0.8 * (len(w) - 4):
+                    want.add((len(docs), i))
+                docs.append(f"{prose(9)} {' '.join([*w[:a], *['zzz'] * (b - a), *w[b:]])} {prose(9)}")
+    docs = documents(list(enumerate(docs)))
+    for most in (D.ANCHORS, 2):
+        monkeypatch.setattr(D, "ANCHORS", most)
+        assert {(r.doc_id, r.item_id) for r in contamination(docs, bench(spark, items)).collect()} == want
+    told = D.telling(D.item_marks(bench(spark, items)))
+    assert {(r.item_id, r["count"]) for r in told.groupBy("item_id").count().collect()} == {(0, 5), (1, 6), (2, 1), (3, 2), (4, 3)}
+    firsts = {"plain": [r.word for r in told.select("word").distinct().collect()]}
+    few, every = (D.document_marks(docs, ["doc_id"], {"plain": [5]}, lambda at, h: h, f) for f in (firsts, None))
+    assert few.count() < every.count() / 2 and few.exceptAll(every).isEmpty()
+    hashes = told.select("hash")
+    assert few.join(hashes, F.col("w") == hashes["hash"]).count() == every.join(hashes, F.col("w") == hashes["hash"]).count() > 0
+
+
 def test_empty(spark, documents):
     assert contamination(documents([]), bench(spark)).count() == 0
     assert contamination(documents([(1, ITEM)]), bench(spark, [])).count() == 0
