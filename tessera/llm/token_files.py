@@ -58,7 +58,7 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: A chunk that may be encoded in one go with others: no white space but a line feed in front.
 SOLID = re.compile(r"\n?\S+")
 #: Bytes of text whose chunks are looked up together, by rows of so many.
-PORTION, ROWS = 8 << 20, 1000
+PORTION, ROWS = 4 << 20, 1000
 
 
 class Chunks(dict):
@@ -370,6 +370,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
             shard = shards_of(ids.fill_null(LEAST_ID).to_numpy(zero_copy_only=False), bounds, frames)
             tokens = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(tokens), pa.array(frames, pa.binary())], ["shard", "doc_id", "tokens", "frame"])
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside other stages' memory
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done, writer = [], None
