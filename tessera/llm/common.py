@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import re
 import uuid
@@ -11,6 +13,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +40,50 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(make: Callable, *args):
+    """make(*args), made once for all tasks of a worker. A worker keeps one such thing."""
+    key = (make, args)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make(*args)
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Drop what this worker keeps."""
+    _kept.clear()
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library than GNU's
+    _trim = None
+
+
+def give_back() -> None:
+    """Return to the system what this worker has freed; its allocators would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(step: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """A stage's function over batches, for workers that live on beside the memory of stages that need no Python: a task
+    drops what another stage kept, unless it keeps things itself, and ends by returning what it freed."""
+
+    def run(batches: Iterator) -> Iterator:
+        if not keeps:
+            let_go()
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
 _shipped: set[str] = set()
 
 

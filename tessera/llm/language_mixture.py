@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, prepare, small_batches, small_side
+from tessera.llm.common import Scratch, lean, prepare, small_batches, small_side
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -93,7 +93,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             (at,) = table.nonzero()
             yield pd.DataFrame({"lang": lang, "gram": at.astype(np.int32), "n": table[at]})
 
-    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInPandas(count, "lang string, gram int, n long")
+    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInPandas(lean(count), "lang string, gram int, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 {"doc_id": b["doc_id"].astype("Int64"), "lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "proportions": [x[2] for x in out]}
             )
 
-    return docs.select("doc_id", "text").mapInPandas(label, PREDICTED)
+    return docs.select("doc_id", "text").mapInPandas(lean(label), PREDICTED)
 
 
 def fold(modulus: int):
@@ -222,6 +222,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 known[at] = True
             yield pd.DataFrame({"#id": b["doc_id"].astype("Int64")[~known], "#text": b["#text"][~known]})
 
-    gone = scratch.save("rejected", docs.select("doc_id", "text", mark).mapInPandas(reject, "`#id` long, `#text` long").distinct())
+    gone = scratch.save("rejected", docs.select("doc_id", "text", mark).mapInPandas(lean(reject), "`#id` long, `#text` long").distinct())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("#id")) & (F.xxhash64("text") == F.col("#text"))
     return docs.join(small_side(gone), same, "left_anti").select(docs.columns)

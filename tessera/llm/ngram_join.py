@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, WordIds, join_hot, mix, shingles, small_side, word_hashes
+from tessera.llm.common import Scratch, WordIds, join_hot, lean, mix, shingles, small_side, word_hashes
 from tessera.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -101,7 +101,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             frame.insert(0, "doc_id", b["doc_id"].astype("Int64").array)
             yield frame
 
-    return docs.select("doc_id", "text").mapInPandas(make, SKETCH)
+    return docs.select("doc_id", "text").mapInPandas(lean(make), SKETCH)
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -319,7 +319,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = classes.select("rep", F.explode("bands").alias("band"))
     held = scratch.save("held", placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
     dealt = in_blocks(placed, "band", "rep", held, BUCKET_BLOCK).join(classes.select("rep", "values").hint("merge"), "rep")
-    likely = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInPandas(likely_links, "a long, b long")
+    likely = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInPandas(lean(likely_links), "a long, b long")
     groups = scratch.save("groups", components(likely, scratch, "likely"))
     sizes = scratch.save("sizes", groups.groupBy("component").agg(F.count("*").alias("members")))
     members = in_blocks(groups.withColumnRenamed("node", "rep"), "component", "rep", sizes, GROUP_BLOCK)
@@ -331,7 +331,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # one row a representative: repeated rows, and the least text where a doc_id has several
     with_text = with_text.groupBy("rep").agg(F.min("text").alias("text"), F.first("copies").alias("copies"), F.first("values").alias("values"))
     tasks = members.join(with_text, "rep").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
-    found = scratch.save("found", tasks.mapInPandas(exact_links(threshold), "rep long, links long, root long"))
+    found = scratch.save("found", tasks.mapInPandas(lean(exact_links(threshold)), "rep long, links long, root long"))
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch, "linked")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classed = (

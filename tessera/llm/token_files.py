@@ -15,7 +15,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filesystem, prepare, shared_dir, small_batches
+from tessera.llm.common import filesystem, kept, lean, prepare, shared_dir, small_batches
 
 MAGIC = b"TSRTOK01"
 FOOTER = struct.Struct("<QQQQI4s")
@@ -204,10 +203,9 @@ class Encoder:
             yield self.slowly(texts[k].as_py()) + self.end if by_hand else b"".join((raw[a + 4 : b], self.end))
 
 
-@lru_cache(1)
 def encoder_of(tokenizer_path: str, end_id: int, chunked: bool = True) -> Encoder:
-    """One for all tasks of a worker."""
-    return Encoder(tokenizer_path, end_id, chunked)
+    """One for all tasks of a worker, until a stage that needs none runs there."""
+    return kept(Encoder, tokenizer_path, end_id, chunked)
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -350,7 +348,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
             yield pd.DataFrame({"piece": [x[: 4 * PIECE] for x in encoder.ids(texts)], "size": [len(t or "") for t in texts], "agrees": agrees})
 
     with small_batches(spark):
-        sample = first.mapInPandas(pieces, "piece binary, size long, agrees boolean").collect()
+        sample = first.mapInPandas(lean(pieces, keeps=True), "piece binary, size long, agrees boolean").collect()
     chunked = all(r.agrees for r in sample)
     mean = sum(r["size"] for r in sample) / len(sample) if sample else 0
     shards = max(1, math.ceil(mean * ids.count() / SHARD_CHARS))
@@ -370,7 +368,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
             shard = shards_of(ids.fill_null(LEAST_ID).to_numpy(zero_copy_only=False), bounds, frames)
             tokens = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(tokens), pa.array(frames, pa.binary())], ["shard", "doc_id", "tokens", "frame"])
-        pa.default_memory_pool().release_unused()  # the worker lives on, beside other stages' memory
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done, writer = [], None
@@ -385,10 +382,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
             done.append(writer.close())
         yield pd.DataFrame(done, columns=["shard", "docs", "tokens"])
 
-    encoded = docs.mapInArrow(encode, "shard int, doc_id long, tokens long, frame binary")
+    encoded = docs.mapInArrow(lean(encode, keeps=True), "shard int, doc_id long, tokens long, frame binary")
     ordered = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
     with small_batches(spark):
-        written = ordered.mapInPandas(write, "shard int, docs long, tokens long").collect()
+        written = ordered.mapInPandas(lean(write), "shard int, docs long, tokens long").collect()
     return folder, sorted((r.shard, r.docs, r.tokens) for r in written)
 
 
@@ -419,4 +416,4 @@ def read_digest(spark, folder: str, shards: list[tuple[int, int, int]]) -> DataF
                     yield pd.DataFrame({"doc_id": ids, "start": start + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc})
                     start += int(n.sum())
 
-    return tasks.repartition(max(1, len(shards))).mapInPandas(read, DIGEST)
+    return tasks.repartition(max(1, len(shards))).mapInPandas(lean(read), DIGEST)

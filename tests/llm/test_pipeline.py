@@ -1,5 +1,14 @@
+import gc
+
+import pandas as pd
+import public_tokenizers
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from tessera.llm import common
 from tessera.llm.curriculum import in_training_order
+from tessera.llm.ngram_join import sketch
+from tessera.llm.token_files import write_tokens
 
 
 def test_stages(spark, documents, prose, tmp_path):
@@ -47,3 +56,34 @@ def test_empty_table(spark, documents, tmp_path):
     documents([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_drop_what_other_stages_kept(spark, documents, prose):
+    """The encoder of the token files stays for its own stage's tasks alone; workers live on beside the stages that follow."""
+    docs = documents([(k, prose(30)) for k in range(64)]).repartition(32)
+
+    def probe(batches):
+        for b in batches:
+            encoders = sum(type(o).__name__ == "Encoder" and type(o).__module__ == "tessera.llm.token_files" for o in gc.get_objects())
+            yield pd.DataFrame({"encoders": [encoders] * len(b)})
+
+    def encoders():
+        return spark.range(0, 64, 1, 32).mapInPandas(probe, "encoders long").agg(F.max("encoders")).first()[0]
+
+    write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    sketch(docs).count()
+    assert encoders() == 0
+
+
+def test_what_a_task_keeps_and_gives_back(monkeypatch):
+    made, given = [], []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    make = lambda *args: made.append(args) or object()
+    step = lambda batches: ((b, common.kept(make, 1)) for b in batches)
+    first = list(common.lean(step, keeps=True)([1, 2]))
+    again = list(common.lean(step, keeps=True)([3]))
+    assert [b for b, _ in first + again] == [1, 2, 3] and len({x for _, x in first + again}) == 1 and len(given) == 2
+    assert list(common.lean(iter)([4])) == [4]
+    common.kept(make, 1), common.kept(make, 2), common.kept(make, 2), common.kept(make, 1)
+    assert made == [(1,), (1,), (2,), (1,)]
+    common.let_go()
